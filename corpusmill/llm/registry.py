@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import capping, neardup, splitting
+from corpusmill.llm import capping, neardup, neighbours, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_dominance": capping.p1_dominance,
         "p2_found": neardup.p2_found,
         "p2_groups": neardup.p2_groups,
+        "p4_found": neighbours.p4_found,
+        "p4_neighbours": neighbours.p4_neighbours,
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p5_report": splitting.p5_report,
