@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import capping, neardup, neighbours, splitting
+from corpusmill.llm import capping, mixing, neardup, neighbours, packing, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p5_report": splitting.p5_report,
+        "p6_assign": packing.p6_assign,
+        "p6_fill": packing.p6_fill,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
     }
 
 
