@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import capping, mixing, neardup, neighbours, packing, splitting
+from corpusmill.llm import capping, mixing, neardup, neighbours, packing, splitting, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_fill": packing.p6_fill,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
+        "p8_found": toxicity.p8_found,
+        "p8_scores": toxicity.p8_scores,
+        "p8_rates": toxicity.p8_rates,
     }
 
 
