@@ -367,7 +367,7 @@ def train(coded: DataFrame, labels: DataFrame) -> Model:
     rows = rows.unionByName(pairs.join(own, "pair", "left_semi").select(*one(1, F.col("pair"), F.col("n"))))
     rows = rows.unionByName(contexts.select(*one(2, F.col("v"), F.col("n")))).unionByName(endings.select(*one(3, F.col("w"), F.col("n"))))
     rows = rows.unionByName(pairs.agg(F.count(F.lit(1)).alias("n")).select(*one(4, F.lit(0).cast("long"), F.col("n"))))
-    made = rows.groupBy(F.lit(0)).applyInArrow(_trained, "model binary").collect()
+    made = rows.groupBy().applyInArrow(_trained, "model binary").collect()
     return Model.from_bytes(bytes(made[0].model))
 
 
