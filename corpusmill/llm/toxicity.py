@@ -34,6 +34,7 @@ MOST = 5.0  # what one word may say
 LEAST_DOCS = 3
 CHOSEN = 0.6
 MORE_OFTEN = 0.9
+LEAST_SCORE = 0.5  # a threshold is not set lower
 TOXIC = ("abusive", "hateful", "sexual")
 PARTS = 3  # of the sample; the threshold comes from documents the models have not seen
 PLATEAU = 0.01
@@ -43,14 +44,15 @@ _LOOKALIKES = str.maketrans(dict(zip(map(chr, (0x430, 0x432, 0x435, 0x43a, 0x43c
 _LEET = str.maketrans("0134578$@!|+", "oieastbsaiit")
 _HIDDEN = re.compile("[" + "".join(map(chr, (0xAD, 0x34F, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF))) + "]")
 _MARKS = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
-_PASSAGE = re.compile(r"(?<=[.!?])[\"')*_~]*[^\S\n]+|(?<=[a-z]),\"|\s\|\s|[\n\r]+")
+_PASSAGE = re.compile(r"([.!?])[\"')*_~]*[^\S\n]+|,\"(?<=[a-z],\")|\s\|\s|[\n\r]+")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([.\-_*~·]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])")
 _AIRY = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
-_MASKED = re.compile(r"[^\W\d_][*#]{2,}[^\W_]?|[^\W\d_]+\*+[^\W\d_]+")
-_TOKEN = re.compile(r"\n|<masked>|[^\W_](?:[^\W_]|[$@!|+](?=[^\W_])|[$]|_(?=[^\W_]))*|[$@](?=[^\W\d_])(?:[^\W_]|[$@!|])+|[!?]{2,}")
+_MASKED = re.compile(r"[*#](?<=[^\W\d_].)(?:[*#]+|(?=[^\W\d_]))")  # begins with a set of signs, which is searched fast
+_TOKEN = re.compile(r"\n|[^\W_](?:[^\W_]|[$@!|+](?=[^\W_])|[$]|_(?=[^\W_]))*|[$@](?=[^\W\d_])(?:[^\W_]|[$@!|])+|[!?]{2,}")
 _LONG = re.compile(r"(.)\1{2,}")
 _HEADER = re.compile(r"^\W*([^\W\d_]+):\s", re.M)
 _PREFIX = re.compile(r"^[^\w\n]*\[?\d{1,2}:\d{2}\]?\s*", re.M)
+_MASK = "qzm"  # stands for the masked letters of a word
 _HEAD = "qzh"  # marks the word before a colon at a line's begin: "To:" in a mail is not "to"
 
 
@@ -59,6 +61,8 @@ def plain_word(word: str) -> str:
     """A token without disguise: leet signs as letters, drawn-out letters once; numbers are one word."""
     if word.isdigit():
         return "0"
+    if _MASK in word:
+        return _MASK
     bare = word.replace("_", "")
     if not bare.isalpha() and any(c.isalpha() or c == "$" for c in bare):
         digits = sum(c.isdigit() for c in bare)
@@ -75,7 +79,7 @@ def plain_text(text: str) -> str:
         text = _MARKS.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", text))).translate(_LOOKALIKES)
     text = text.lower()
     if "*" in text or "#" in text:
-        text = _MASKED.sub(" <masked> ", text)
+        text = _MASKED.sub(_MASK, text)
     if "." in text or "-" in text or "_" in text or "*" in text:
         text = _DOTTED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), text)
     return _AIRY.sub(lambda m: m[0].replace(" ", ""), text)
@@ -93,7 +97,7 @@ def codes(text: str | None) -> np.ndarray:
     """The words of all passages of a text, each passage followed by 0."""
     if not text:
         return np.zeros(0, np.int32)
-    bare = _HEADER.sub(rf"\1{_HEAD} ", _PREFIX.sub("", _PASSAGE.sub("\n", plain_text(text))))
+    bare = _HEADER.sub(rf"\1{_HEAD} ", _PREFIX.sub("", _PASSAGE.sub(r"\1\n", plain_text(text))))
     found = list(map(_code, _TOKEN.findall(bare)))
     found.append(0)
     out = np.array(found, np.int32)
@@ -286,7 +290,7 @@ def threshold(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Share
     if not len(steps):
         return 1.0
     level = steps[f1 >= f1.max() - PLATEAU]  # the middle of what does as well
-    return float((level.min() + level.max()) / 2)
+    return max(LEAST_SCORE, float((level.min() + level.max()) / 2))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
