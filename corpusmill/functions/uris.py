@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Names that need no work: the plain form, ASCII without escapes, fragments or empty and dotted segments.
-_PLAIN = r"^file:///(?!.*(//|/\.{1,2}(/|$)))[!$&-\[\]^-~ ]*[!$&-.0-\[\]^-~]$"
+_PLAIN = r"^file:///(?!.*(//|/\.{1,2}(/|$)))[!$&->@-\[\]^-~ ]*[!$&-.0->@-\[\]^-~]$"
 _SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]+):")
 
 
