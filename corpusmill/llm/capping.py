@@ -39,28 +39,28 @@ def nested_caps(df: DataFrame, caps: list[Cap], order: list[Column], spread: Col
     floor(share * records of ``within``) and at least 1; the parts then hold back less.
     Null group values are a group of their own; an empty table gives an empty result.
     """
-    out = df.withColumn("dropped_by", F.lit(None).cast("int")).withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    out = df.withColumn("dropped_by", F.lit(None).cast("int")).withColumn("__cap_part", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     for number, cap in enumerate(caps):
         limit = F.lit(cap.count if cap.count is not None else 2**31 - 1)
         if cap.share is not None:
-            size = out.groupBy(*cap.within).agg(F.count(F.lit(1)).alias("_n")) if cap.within else out.agg(F.count(F.lit(1)).alias("_n"))
+            size = out.groupBy(*cap.within).agg(F.count(F.lit(1)).alias("__cap_n")) if cap.within else out.agg(F.count(F.lit(1)).alias("__cap_n"))
             if cap.within:
-                size = size.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(cap.within)), "_n")
-                same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(cap.within)]
-                out = out.join(size, same).drop(*(f"_w{i}" for i in range(len(same))))
+                size = size.select(*(F.col(c).alias(f"__cap_w{i}") for i, c in enumerate(cap.within)), "__cap_n")
+                same = [F.col(c).eqNullSafe(F.col(f"__cap_w{i}")) for i, c in enumerate(cap.within)]
+                out = out.join(size, same).drop(*(f"__cap_w{i}" for i in range(len(same))))
             else:
                 out = out.join(F.broadcast(size))  # one row
-            limit = F.least(limit, F.greatest(F.floor(F.col("_n") * cap.share).cast("int"), F.lit(1)))
-        out = out.withColumn("_limit", limit)
+            limit = F.least(limit, F.greatest(F.floor(F.col("__cap_n") * cap.share).cast("int"), F.lit(1)))
+        out = out.withColumn("__cap_limit", limit)
         alive = F.col("dropped_by").isNull()
         by = [F.col(c) for c in cap.by]
-        local = Window.partitionBy(*by, "_part", alive).orderBy(*order)
-        out = out.withColumn("_place", F.when(alive, F.row_number().over(local)))
-        near = F.col("_place") <= F.col("_limit")
-        whole = Window.partitionBy(*by, F.when(near, -1).otherwise(F.col("_part"))).orderBy(*order)
-        out = out.withColumn("_place", F.when(near, F.row_number().over(whole)).otherwise(F.col("_place")))
-        out = out.withColumn("dropped_by", F.when(alive & (F.col("_place") > F.col("_limit")), number).otherwise(F.col("dropped_by"))).drop("_place", "_limit", "_n")
-    return out.drop("_part")
+        local = Window.partitionBy(*by, "__cap_part", alive).orderBy(*order)
+        out = out.withColumn("__cap_place", F.when(alive, F.row_number().over(local)))
+        near = F.col("__cap_place") <= F.col("__cap_limit")
+        whole = Window.partitionBy(*by, F.when(near, -1).otherwise(F.col("__cap_part"))).orderBy(*order)
+        out = out.withColumn("__cap_place", F.when(near, F.row_number().over(whole)).otherwise(F.col("__cap_place")))
+        out = out.withColumn("dropped_by", F.when(alive & (F.col("__cap_place") > F.col("__cap_limit")), number).otherwise(F.col("dropped_by"))).drop("__cap_place", "__cap_limit", "__cap_n")
+    return out.drop("__cap_part")
 
 
 def best_first(score: str, tie: str) -> list[Column]:

@@ -332,7 +332,7 @@ def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 5, least: float = -2
     ``probes`` is the number of cells visited, or below 1 the part of all cells; ``asks``
     restricts the queries (over chunk_id), never what is searched.
     """
-    known = vectors.join(spaces, "collection").select("chunk_id", "collection", F.col("vector").cast("array<float>").alias("vector"), F.col("dims").cast("int").alias("dims"))
+    known = vectors.select("chunk_id", "collection", "vector").join(spaces.select("collection", "dims"), "collection").select("chunk_id", "collection", F.col("vector").cast("array<float>").alias("vector"), F.col("dims").cast("int").alias("dims"))
     usable = keep(known.mapInArrow(_usable, "collection string, chunk_id string, key long, dims int, vec binary"), "vectors")
     ids = usable.select("collection", "key", "chunk_id").distinct()
     if asks is None:

@@ -23,7 +23,8 @@ GROUP = 8192  # documents packed together
 ROUNDS = 4
 FULL = 0.995  # containers below go to the next round
 PARTNERS = 48  # underfull containers that one container trades with
-STEPS = 200  # exchanges per container
+STEPS = 200  # exchanges per container and turn
+TURNS = 4  # of a container, about
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -74,12 +75,12 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[lis
     fill = np.array([int(sizes[b].sum()) for b in bins])
     stuck: set[int] = set()
     alive = set(np.flatnonzero(fill < capacity).tolist())
-    while True:
+    for _ in range(TURNS * len(alive) + TURNS):
         open_ = sorted((b for b in alive if fill[b] < capacity), key=lambda b: (fill[b], b))
         givers = [b for b in open_ if b not in stuck]
         if len(open_) < 2 or not givers:
             break
-        e = givers[0]
+        e, traded = givers[0], False
         for _ in range(STEPS):
             # Fuller containers only, so that every exchange raises the squared fill.
             partners = [b for b in open_ if b != e and bins[b] and capacity > fill[b] >= fill[e]][:PARTNERS]
@@ -98,8 +99,8 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[lis
             if place[j] >= 0:
                 bins[e].append(bins[b].pop(int(place[j])))
             bins[b].extend(given)
-            fill[e], fill[b] = int(sizes[bins[e]].sum()), int(sizes[bins[b]].sum())
-        stuck.add(e)
+            fill[e], fill[b], traded = int(sizes[bins[e]].sum()), int(sizes[bins[b]].sum()), True
+        stuck = {e} if traded else stuck | {e}  # what others could not do before, they may now
         if not bins[e]:
             alive.discard(e)
     return [b for b in bins if b]
