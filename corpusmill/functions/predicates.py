@@ -90,5 +90,5 @@ def predicate(clauses: list[str], metadata: Column) -> Column:
         else:
             order = _order(value, c.value)
             holds = {"=": order == 0, "!=": order != 0, "<": order < 0, "<=": order <= 0, ">": order > 0, ">=": order >= 0}[c.op]
-        out = out & F.coalesce(holds, F.lit(False))
+        out = out & value.isNotNull() & F.coalesce(holds, F.lit(False))
     return out
