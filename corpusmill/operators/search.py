@@ -46,7 +46,8 @@ def _block(k: int):  # noqa: ANN202
                 score = np.zeros(len(entries))
                 if len(v) in unit and (length := float(np.sqrt(v @ v))) > 0:
                     at, m, norm = unit[len(v)]
-                    score[at] = np.divide(m @ v, norm * length, out=np.zeros(len(at)), where=norm > 0)
+                    # Rounded, so that equal vectors tie whatever the block's shape.
+                    score[at] = np.round(np.divide(m @ v, norm * length, out=np.zeros(len(at)), where=norm > 0), 12)
                 top = np.lexsort((rank, -score))[:k]
                 out[0].extend([name] * len(top))
                 out[1].extend(keys[top].tolist())

@@ -11,7 +11,8 @@ from corpusmill.functions.predicates import predicate
 from corpusmill.functions.text import terms, words
 from corpusmill.functions.uris import basename
 from corpusmill.operators import chunking, claims, corpus, evaluate, rank, search
-from corpusmill.plans import ports
+from corpusmill.plans import answer, ports
+from corpusmill.sources import evalset, extract
 from corpusmill.tables import keep, read
 
 NOW = "2025-06-14T00:00:00Z"
@@ -150,7 +151,8 @@ def recency_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(rank.score_distribution(hits_of(spark, sf_dir)), "least", "greatest", "mean")
+    # Means of scores with six digits end in a half often; twelve digits have none.
+    return _round(rank.score_distribution(hits_of(spark, sf_dir)), "least", "greatest").withColumn("mean", F.round("mean", 12))
 
 
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,6 +259,44 @@ def document_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.selected(documents_of(spark, sf_dir), "*.csv", glob_to_regex("*.csv")).select("id", "source_uri", basename(F.col("source_uri")).alias("name"))
 
 
+def lookup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list's chunks looked up in its order; unknown ids are skipped."""
+    ids = hits_of(spark, sf_dir).select("query_id", F.col("pos").alias("idx"), F.col("chunk_id").alias("id"))
+    return search.lookup(ids, chunks_of(spark, sf_dir)).select("query_id", "idx", "id", "collection", "seq")
+
+
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document taken as a file's content: what extraction reads as title and how long the rest is."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "content_type", F.lit(None).cast("timestamp").alias("mtime"), F.encode("text", "UTF-8").alias("content"))
+    found = extract.extract(docs.withColumn("content_type", F.when(F.col("content_type") == "text/markdown", F.col("content_type")).otherwise("text/plain")))
+    return found.where("map_contains_key(metadata, 'title')").select("doc_id", F.col("metadata")["title"].alias("title"))
+
+
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every question over its three best passages."""
+    asked = questions_of(spark, sf_dir)
+    full = search.hydrate(search.bm25_topk(asked, chunks_of(spark, sf_dir), 3), chunks_of(spark, sf_dir), documents_of(spark, sf_dir))
+    return answer.prompts(full, asked).select("query_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+def judged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk taken as an answer that cites itself and the first chunk of its document, judged by shared terms."""
+    valid = F.array(F.col("id"), F.concat("document_id", F.lit(":0")))
+    texts = chunks_of(spark, sf_dir).select(F.col("id").alias("answer_id"), "text", valid.alias("valid"))
+    return _round(answer.verify(texts, chunks_of(spark, sf_dir), ports.overlap_verdict)[1], "rate")
+
+
+def hits_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalset.hits_json(hits_of(spark, sf_dir).select("query_id", "pos", "chunk_id", "score", "source"))
+
+
+def eval_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists judged by source: the source of the best score is expected, a source counts at its first place."""
+    hits = hits_of(spark, sf_dir).where("source != ''")
+    best = hits.groupBy("query_id").agg(F.min(F.struct(-F.col("score"), F.col("chunk_id"), F.col("source"))).alias("b")).select("query_id", F.col("b.source").alias("source"))
+    return _round(evaluate.per_question(hits, best, 5, "source"), *evaluate.METRICS)
+
+
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every list, the chunks that its best score's document has."""
     hits = hits_of(spark, sf_dir)

@@ -16,7 +16,7 @@ QUERIES = (
     q.score_distribution, q.mmr_select, q.rerank_pool, q.where_numeric, q.where_date, q.where_tags, q.inferred_time, q.path_date,
     q.term_statistics, q.chunk_lengths, q.fixed_chunks, q.structured_chunks, q.document_identity, q.corpus_digest, q.collection_diff,
     q.prune_set, q.ingest_outcomes, q.collection_status, q.orphan_chunks, q.document_select, q.eval_questions, q.eval_means,
-    q.claim_segments, q.support_rate,
+    q.claim_segments, q.support_rate, q.lookup_chunks, q.front_matter, q.answer_prompts, q.judged_claims, q.hits_as_json, q.eval_sources,
 )
 
 

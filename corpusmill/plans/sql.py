@@ -134,7 +134,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf
             select="SELECT query_id, chunk_id, round(score, 6) AS score, place AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, pos)::INT AS place FROM aged) WHERE place <= 8"),
         "score_distribution": _with(
             HITS, "used AS (SELECT query_id, CASE WHEN max((pos = 1 AND rerank_score IS NOT NULL)::INT) OVER (PARTITION BY query_id) = 1 THEN coalesce(rerank_score, 0.0) ELSE score END AS s FROM hits1)",
-            select="SELECT query_id, count(*) AS hits, round(min(s), 6) AS least, round(max(s), 6) AS greatest, round(avg(s), 6) AS mean FROM used GROUP BY query_id"),
+            select="SELECT query_id, count(*) AS hits, round(min(s), 6) AS least, round(max(s), 6) AS greatest, round(avg(s), 12) AS mean FROM used GROUP BY query_id"),
         "where_numeric": _with(DOCS, select="SELECT id, source_uri FROM docs1 WHERE split_part(fingerprint, ':', 1)::DOUBLE >= 1500 AND split_part(fingerprint, ':', 1)::DOUBLE < 20000"),
         "where_date": _with(DOCS, select=f"SELECT id, source_uri FROM docs1 WHERE coalesce({_parsed("metadata['mtime']")} >= TIMESTAMP '2025-01-01' AND {_parsed("metadata['mtime']")} < TIMESTAMP '2025-07-01 12:00:00', false)"),
         "where_tags": _with(DOCS, select="SELECT id, source_uri FROM docs1 WHERE len(list_filter(string_split(lower(metadata['tags']), ','), lambda t: regexp_matches(trim(t), '^[m-s][^/]*$'))) > 0 AND coalesce(metadata['author'] <> 'u-1', false)"),
@@ -157,6 +157,19 @@ SELECT doc_id, seq::INT AS seq, sha256(array_to_string(words[seq * 112 + 1 : seq
         "document_select": _with(DOCS, select=r"SELECT id, source_uri, regexp_extract(source_uri, '[^/]*$') AS name FROM docs1 WHERE regexp_matches(source_uri, '\.csv$')"),
         "eval_questions": _with(HITS, CHUNKS, expected, select="SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(hit_rate, 6) AS hit_rate FROM m"),
         "eval_means": _with(HITS, CHUNKS, expected, select="SELECT count(*) AS questions, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(hit_rate), 6) AS hit_rate FROM m"),
+        "lookup_chunks": _with(HITS, CHUNKS, select="SELECT h.query_id, h.pos AS idx, c.id, c.collection, c.seq FROM hits1 h JOIN chunks1 c ON c.id = h.chunk_id"),
+        "front_matter": r"""WITH m AS (SELECT doc_id, regexp_extract(text, '^---[ \t]*\n((?s:.*?)\n)?---[ \t]*(\n|$)', 1) AS head FROM (SELECT doc_id, content_type, replace(text, chr(13) || chr(10), chr(10)) AS text FROM documents) WHERE content_type = 'text/markdown' AND regexp_matches(text, '^---[ \t]*\n')),
+t AS (SELECT doc_id, regexp_extract_all(head, '(?m)^title:(.*)$', 1)[-1] AS title FROM m) SELECT doc_id, trim(title, ' ') AS title FROM t WHERE title IS NOT NULL""",
+        "answer_prompts": _with(
+            CHUNKS, DOCS, QUESTIONS, _bm25(3),
+            r"full_ AS (SELECT l.query_id, l.pos, c.text, coalesce(d.source_uri, '') AS source FROM lexical l JOIN chunks1 c ON c.id = l.chunk_id LEFT JOIN docs1 d ON d.id = c.document_id)",
+            "parts AS (SELECT query_id, string_agg('[' || pos || '] (' || regexp_extract(source, '[^/]*$') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS p FROM full_ GROUP BY query_id)",
+            select="SELECT query_id, sha256(p || chr(10) || chr(10) || 'Question: ' || text) AS prompt_hash FROM parts JOIN questions USING (query_id)"),
+        "eval_sources": _with(
+            HITS, "h AS (SELECT * FROM hits1 WHERE source <> '')", "best AS (SELECT query_id, arg_min(source, {'a': -score, 'b': chunk_id, 'c': source}) AS source FROM h GROUP BY query_id)",
+            "f AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(pos), source) AS place FROM h GROUP BY query_id, source)",
+            "m AS (SELECT query_id, place, count(*) OVER (PARTITION BY query_id) AS n, f.source = b.source AS hit FROM f JOIN best b USING (query_id))",
+            select="SELECT query_id, CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END AS recall, round(CASE WHEN place <= 5 THEN 1.0 / least(n, 5) ELSE 0.0 END, 6) AS precision, round(1.0 / place, 6) AS mrr, round(CASE WHEN place <= 5 THEN 1 / log2(place + 1) ELSE 0.0 END, 6) AS ndcg, CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END AS hit_rate FROM m WHERE hit"),
         "support_rate": _with(
             CHUNKS,
             f"""pairs AS (SELECT document_id, list_distinct({TERMS.format('text')}) AS a, list_distinct({TERMS.format('evidence')}) AS b FROM (SELECT *, lag(text) OVER (PARTITION BY document_id ORDER BY seq, id) AS evidence FROM chunks1) WHERE evidence IS NOT NULL),

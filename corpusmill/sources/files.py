@@ -91,3 +91,14 @@ def in_memory(spark: SparkSession, content: bytes, name: str = "stdin", kind: st
     if not name:
         raise UsageError("a document needs a name")
     return spark.createDataFrame([(name, None, kind, len(content), None, bytearray(content), "")], f"{FILES}, content binary, fingerprint string")
+
+
+ATTACHMENT_BYTES = 64 << 20
+
+
+def attachment(path: str) -> tuple[str, str, bytes]:
+    """(name, content type, bytes) of a file that goes to a model as it is and is never stored."""
+    if os.path.getsize(path) > ATTACHMENT_BYTES:
+        raise InvariantError(f"{path} is larger than {ATTACHMENT_BYTES} bytes")
+    with open(path, "rb") as f:
+        return os.path.basename(path), content_type(path), f.read()
