@@ -43,13 +43,13 @@ def nested_caps(df: DataFrame, caps: list[Cap], order: list[Column], spread: Col
     for number, cap in enumerate(caps):
         limit = F.lit(cap.count if cap.count is not None else 2**31 - 1)
         if cap.share is not None:
-            size = out.groupBy(*cap.within).agg(F.count(F.lit(1)).alias("__cap_n")) if cap.within else out.agg(F.count(F.lit(1)).alias("__cap_n"))
             if cap.within:
+                size = out.groupBy(*cap.within).agg(F.count(F.lit(1)).alias("__cap_n"))
                 size = size.select(*(F.col(c).alias(f"__cap_w{i}") for i, c in enumerate(cap.within)), "__cap_n")
                 same = [F.col(c).eqNullSafe(F.col(f"__cap_w{i}")) for i, c in enumerate(cap.within)]
                 out = out.join(size, same).drop(*(f"__cap_w{i}" for i in range(len(same))))
             else:
-                out = out.join(F.broadcast(size))  # one row
+                out = out.withColumn("__cap_n", F.lit(df.count()))
             limit = F.least(limit, F.greatest(F.floor(F.col("__cap_n") * cap.share).cast("int"), F.lit(1)))
         out = out.withColumn("__cap_limit", limit)
         alive = F.col("dropped_by").isNull()

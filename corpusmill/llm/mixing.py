@@ -136,7 +136,7 @@ def mix(lengths: DataFrame, targets: DataFrame, total: int | None = None, seed:
     used = used.where("times > 0").select("doc_id", "source", "n_tokens", "times")
     reached = fitted.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("held_tokens"), F.sum("n").alias("held_docs"), F.sum(F.col("n_tokens") * (F.col("n") * F.col("whole") + F.col("take"))).alias("mixed_tokens"), F.max(F.col("whole") + F.when(F.col("take") > 0, 1).otherwise(0)).alias("most_uses"))
     full = planned.join(reached, "source", "left").na.fill(0, ["held_tokens", "held_docs", "mixed_tokens", "most_uses"])
-    everything = full.crossJoin(F.broadcast(full.agg(F.sum("mixed_tokens").alias("_all"))))  # one row
+    everything = full.withColumn("_all", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(True))))  # one row per target
     share = F.when(F.col("_all") > 0, F.col("mixed_tokens") / F.col("_all")).otherwise(0.0)
     shares = everything.select("source", "target_weight", "max_repeats", "held_docs", "held_tokens", F.col("budget").alias("budget_tokens"), "mixed_tokens", "most_uses", F.round(share, 6).alias("share"))
     return used, shares

@@ -27,10 +27,10 @@ from corpusmill.tables import keep, read
 SAMPLE = {"toxic": 4000, "ordinary": 8000}  # reviewed documents the models are fitted on, at most
 DISCOUNT = 0.75
 TURNS = 4
-LEAST_WORDS = 6  # shorter passages are averaged as if so long
+LEAST_WORDS = 8  # shorter passages are averaged as if so long
 BACKOFF = 5.0  # weight of the lower order, in words, beside the discounted ones
 COMMON = 0.7  # part of the lower order that all documents give
-MOST = 5.0  # what one word may say
+MOST = 4.0  # what one word may say
 LEAST_DOCS = 3
 CHOSEN = 0.6
 MORE_OFTEN = 0.9
@@ -243,7 +243,7 @@ def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Shared) ->
     """Models of toxic and ordinary passages, from documents that hold some and none.
 
     At first every passage of a toxic document counts as toxic, but only pairs that several
-    such documents share. Then only the passages that score high do, and the rest is ordinary.
+    such documents share. Then only the passages that score high do, and those that score below 0 are ordinary.
     A passage that clean documents hold as often, such as a house rule, is never taken.
     """
     clean = np.concatenate([_bigrams(w) for w in ordinary]) if ordinary else np.zeros(0, np.int64)
@@ -256,14 +256,14 @@ def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Shared) ->
             if len(scores):
                 chosen = (scores >= CHOSEN) & (scores >= 0.5 * scores.max()) & (share.passages(words)[0] >= MORE_OFTEN)
                 bad.append(_taken(words, chosen, ends))
-                good.append(_bigrams(_taken(words, ~chosen, ends)))
+                good.append(_bigrams(_taken(words, scores < 0, ends)))  # between the two a passage counts for neither
         model = Model.of(KneserNey(_frequent(bad, 1), shared), KneserNey(np.concatenate(good), shared), shared)
     return model
 
 
 def worst(model: Model, documents: list[np.ndarray]) -> np.ndarray:
     """The highest passage score of each document; -MOST without a word."""
-    out = np.full(len(documents), -MOST)
+    out = np.full(len(documents), -MOST, float)
     full = [i for i, w in enumerate(documents) if len(w)]
     if full:
         words = np.concatenate([documents[i] for i in full])
@@ -289,8 +289,8 @@ def threshold(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Share
     f1 = 2 * hits / np.maximum(1, len(right) + hits + alarms)
     if not len(steps):
         return 1.0
-    level = steps[f1 >= f1.max() - PLATEAU]  # the middle of what does as well
-    return max(LEAST_SCORE, float((level.min() + level.max()) / 2))
+    level = steps[f1 >= f1.max() - PLATEAU]  # what does as well; rather high in it, as toxic texts are rarer than in the sample
+    return max(LEAST_SCORE, float(0.4 * level.min() + 0.6 * level.max()))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
