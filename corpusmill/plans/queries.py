@@ -79,8 +79,9 @@ def cosine_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_collection_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every asking vector of the handbook in all collections of its space: the best of each, merged and tagged."""
-    space = F.broadcast(read(spark, sf_dir, "collections").where("dimensions = 64").select(F.col("name").alias("collection")))  # at most one row a collection, named so in the survey
-    asked = asking_vectors(spark, sf_dir).where("collection = 'handbook'").drop("collection").crossJoin(space)
+    space = read(spark, sf_dir, "collections").groupBy("name").agg(F.max("model").alias("model"), F.max("dimensions").alias("dimensions"))
+    own = asking_vectors(spark, sf_dir).where("collection = 'handbook'").join(space.withColumnRenamed("name", "collection"), "collection").drop("collection")
+    asked = own.join(space.withColumnRenamed("name", "collection"), ["model", "dimensions"]).select("query_id", "collection", "vector")
     each = search.cosine_topk(asked.withColumn("query_id", F.concat("query_id", F.lit("@"), "collection")), vectors_of(spark, sf_dir), K)
     tagged = each.withColumn("collection", F.substring_index("query_id", "@", -1)).withColumn("query_id", F.substring_index("query_id", "@", 1))
     return _round(search.collection_pool(tagged, K), "score")
