@@ -215,11 +215,13 @@ def _assign(probes: float):  # noqa: ANN202
                     done.add(key)
                     own, raw = int(shards[i]), raws[at + i]
                     goes = {int(s): int(spread[i] % np.uint64(idx.slices[s])) for s in reached.get(i, ())}
-                    visits = visited[i].astype(np.uint16).tobytes() if i in visited else None
+                    walk = visited.get(i)
                     sent = [(own, part, 1 if goes.get(own) == part else 0) for part in range(int(idx.slices[own]))]
                     sent += [(s, part, 2) for s, part in goes.items() if s != own]
                     for s, part, role in sent:
-                        for col, v in zip(out, (place, s, part, role, key, int(cells[i]), dims, raw, visits if role else None), strict=True):
+                        # Of its walk a query takes along the cells that this shard may hold.
+                        visits = walk[(idx.shard[walk] == s) | (idx.parts[walk] > 1)].astype(np.uint16).tobytes() if role else None
+                        for col, v in zip(out, (place, s, part, role, key, int(cells[i]), dims, raw, visits), strict=True):
                             col.append(v)
         types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
