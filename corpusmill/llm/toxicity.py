@@ -199,14 +199,14 @@ class Model:
         out[~known] = of_word
         return out
 
-    def passages(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(score, end) of each passage."""
+    def passages(self, words: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(score, end) of each passage; one shorter than ``least`` words counts as that long."""
         ends = np.flatnonzero(words == 0)
         if not len(ends):
             return np.zeros(0), ends
         total = np.add.reduceat(self.ratios(_bigrams(words)), np.r_[0, ends[:-1] + 1])
         length = np.diff(np.r_[-1, ends])
-        return total / np.maximum(length, LEAST_WORDS), ends
+        return total / np.maximum(length, LEAST_WORDS if least is None else least), ends
 
     def to_bytes(self) -> bytes:
         arrays = [np.array([self.other, self.threshold])]
@@ -254,7 +254,7 @@ def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Shared) ->
         for words in toxic:
             scores, ends = model.passages(words)
             if len(scores):
-                chosen = (scores >= CHOSEN) & (scores >= 0.5 * scores.max()) & (share.passages(words)[0] >= MORE_OFTEN)
+                chosen = (scores >= CHOSEN) & (scores >= 0.5 * scores.max()) & (share.passages(words, 1)[0] >= MORE_OFTEN)
                 bad.append(_taken(words, chosen, ends))
                 good.append(_bigrams(_taken(words, scores < 0, ends)))  # between the two a passage counts for neither
         model = Model.of(KneserNey(_frequent(bad, 1), shared), KneserNey(np.concatenate(good), shared), shared)
