@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import terms
+from corpusmill.tables import keep
 
 QUERY_BLOCK = 1024
 ENTRY_BLOCK = 16_384
@@ -104,7 +105,8 @@ def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, where: Column | N
     asked = questions.select("query_id", "collection", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     wanted = asked.select("collection", "term").distinct()
     each = length.select("collection", "chunk_id", "len", "passes", F.explode("terms").alias("term")).join(wanted, ["collection", "term"], "left_semi")
-    posted = each.groupBy("collection", "term", "chunk_id", "len", "passes").agg(F.count(F.lit(1)).alias("tf"))
+    # Written once: document frequencies and scores both read it.
+    posted = keep(each.groupBy("collection", "term", "chunk_id", "len", "passes").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = posted.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(stats, "collection").withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
