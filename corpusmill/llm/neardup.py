@@ -9,7 +9,8 @@ a minhash); where a second sub-key agrees too, the pair collides in that table.
 four-bit minhashes estimate the similarity and discard chance collisions. What is left is
 verified against the words themselves.
 
-Equal word sets are one class before anything else, so copies cost nothing however many. A
+Equal word sets are one class before anything else, so copies cost nothing in the search; the
+pairs of ids written out are all of them and grow with the square of a class. A
 sub-key shared by very many texts is not gathered in one task: its texts are spread over the
 256 table keys, and table keys that stay large over blocks that meet pairwise.
 """
@@ -37,7 +38,6 @@ SIMILARITY = 0.6
 LEAST_EQUAL = 27  # of 64 four-bit minhashes; at similarity 0.6 40 +- 4 are expected
 BUCKET = 20_000  # texts of one first sub-key that are compared in one task
 BLOCK = 512  # texts of one table key that are compared at once
-COPIES = 64  # classes of up to so many copies are written out as all their pairs
 
 _WORD = re.compile(r"[^\W_]+")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|mark|s|small|span|strong|sub|sup|tt|u|wbr)\b[^<>]*>", re.I)
@@ -278,7 +278,7 @@ class NearDuplicates:
         found = keep(candidates(sketches), "candidates")
         pairs = sketches.select("id", "cls").distinct()
         classes = pairs.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        self._pairs, self._classes = pairs, classes
+        self._texts, self._pairs, self._classes = texts, pairs, classes
         keyed = classes.select("rep", _first_long("cls").alias("doc"))
         wanted = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         needed = keyed.join(wanted, "doc").select("doc", "rep")
@@ -299,24 +299,45 @@ class NearDuplicates:
     def members(self) -> DataFrame:
         return self._pairs.join(self._classes, "cls")
 
-    def pairs(self, copies: int = COPIES) -> DataFrame:
-        """Pairs of ids, smaller first: every link between different texts, and the copies.
+    def pairs(self, copies: int | None = None) -> DataFrame:
+        """Pairs of ids, smaller first: all members of one class, and for a link all members of the one with all of the other.
 
-        A class of up to ``copies`` is written out: all pairs of its members, and a link as all
-        pairs of members. A larger one has its smallest id paired with each member, and only
-        that id in its links.
+        Only where ``copies`` is given, of one raw text under more ids than that the smallest id is
+        paired with each and alone stands for them in all other pairs. Large classes meet in blocks
+        of about BLOCK members, two blocks at a time.
         """
-        many = self._classes.where("copies > 1")
+        members, star = self._pairs.join(self._classes, "cls").select("rep", "id"), None
+        if copies is not None:
+            members, star = self._represented(copies)
+        sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        copied = keep(members.join(sizes, "rep").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")), "copies")
+        met = copied.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.select("rep", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        inside = met.alias("l").join(met.alias("r"), ["rep", "low", "high"]).where("l.id < r.id and (low = high or l.block != r.block)")
+        inside = inside.select(F.col("l.id").alias("chunk_id_a"), F.col("r.id").alias("chunk_id_b"))
+
         linked = self.links.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-        copied = keep(self._pairs.join(many, "cls").select("rep", "id", "copies"), "copies")
-        small = copied.where(F.col("copies") <= copies).select("rep", "id")
-        inside = small.alias("l").join(small.alias("r"), "rep").where("l.id < r.id").select(F.col("l.id").alias("chunk_id_a"), F.col("r.id").alias("chunk_id_b"))
-        star = copied.where((F.col("copies") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("chunk_id_a"), F.col("id").alias("chunk_id_b"))
-        extra = small.where("id != rep").join(linked, "rep", "left_semi")
-        stand = linked.select("rep", F.col("rep").alias("id")).unionByName(extra)
-        out = self.links.join(stand.select(F.col("rep").alias("rep_a"), F.col("id").alias("i")), "rep_a").join(stand.select(F.col("rep").alias("rep_b"), F.col("id").alias("j")), "rep_b")
-        across = out.where("i != j").select(F.least("i", "j").alias("chunk_id_a"), F.greatest("i", "j").alias("chunk_id_b"))
-        return across.unionByName(inside).unionByName(star).distinct()
+        stand = linked.join(copied, "rep", "left").select("rep", F.coalesce("id", "rep").alias("id"), F.coalesce("block", F.lit(0)).alias("block"))
+        large = copied.where("blocks > 1").select("rep", "blocks").distinct()
+        blocks = self.links.select("rep_a", "rep_b")
+        for side in ("a", "b"):
+            of = large.select(F.col("rep").alias(f"rep_{side}"), "blocks")
+            blocks = blocks.join(of, f"rep_{side}", "left").withColumn(f"block_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        ends = [blocks.join(stand.select(F.col("rep").alias(f"rep_{side}"), F.col("block").alias(f"block_{side}"), F.col("id").alias(f"id_{side}")), [f"rep_{side}", f"block_{side}"]) for side in ("a", "b")]
+        across = ends[0].join(ends[1], ["rep_a", "rep_b", "block_a", "block_b"]).where("id_a != id_b")
+        across = across.select(F.least("id_a", "id_b").alias("chunk_id_a"), F.greatest("id_a", "id_b").alias("chunk_id_b"))
+        out = across.unionByName(inside)
+        return (out if star is None else out.unionByName(star)).distinct()
+
+    def _represented(self, copies: int) -> tuple[DataFrame, DataFrame]:
+        """Members (rep, id) without those that another id with the same raw text stands for, and the pairs of these."""
+        marked = self._texts.select(F.concat(F.md5("text"), "id").alias("id"), "text").mapInArrow(_sketch, "id string, cls binary, sketch binary")
+        marked = marked.select("cls", F.substring("id", 1, 32).alias("raw"), F.expr("substring(id, 33)").alias("id")).distinct()
+        sizes = marked.groupBy("cls", "raw").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+        marked = keep(marked.join(sizes, ["cls", "raw"]), "raw-copies")
+        stays = (F.col("n") <= copies) | (F.col("id") == F.col("least"))
+        members = marked.where(stays).select("cls", "id").distinct().join(self._classes, "cls").select("rep", "id")
+        return members, marked.where(~stays).select(F.col("least").alias("chunk_id_a"), F.col("id").alias("chunk_id_b"))
 
     def groups(self) -> DataFrame:
         """(id, rep, copies, links, group_id): class, number of links of the class, and connected group."""

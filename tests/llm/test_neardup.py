@@ -78,6 +78,20 @@ def test_many_copies_keep_every_link(spark):
     assert groups["a7"] == ("a0", 10, 1, "a0") and groups["b"] == ("b", 1, 1, "a0") and groups["z"] == ("z", 1, 0, "z")
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_large_class_of_different_texts_keeps_every_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    base = "one two three four five six".split()
+    rows = [(f"a{i:02d}", " ".join(base) + "." * (i // 2)) for i in range(70)]  # one word set, raw texts twice each
+    rows += [(f"b{i:02d}", " ".join(base[:5]) + " seven" + "!" * i) for i in range(66)] + [("c", " ".join(base[1:]) + " eight"), ("z", "other words here")]
+    nd = NearDuplicates(spark.createDataFrame(rows, "id string, text string"))
+    got = [(r.chunk_id_a, r.chunk_id_b) for r in nd.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    some = {(r.chunk_id_a, r.chunk_id_b) for r in nd.pairs(copies=1).collect()}
+    gone = {f"a{i:02d}" for i in range(1, 70, 2)}
+    assert some == {p for p in brute(rows) if not gone & set(p)} | {(f"a{i - 1:02d}", f"a{i:02d}") for i in range(1, 70, 2)}
+
+
 def test_components(spark):
     path = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y"), ("hub", "h1"), ("hub", "h2"), ("h2", "h3")]
     got = {r.u: r.root for r in connected(spark.createDataFrame(path, "u string, v string")).collect()}
