@@ -26,6 +26,35 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: Column | int |
     return out if k is None else out.where(F.col(pos) <= k)
 
 
+def _best_of(asked: np.ndarray, m: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (asked, entry) and cosines of the ``k`` best entries of each asked row.
+
+    Single precision says which entries cannot be among them, with more to spare than its error;
+    the rest are compared exactly.
+    """
+    length, norm = np.sqrt((asked * asked).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
+    unit = lambda x, by: np.divide(x, by[:, None], out=np.zeros_like(x), where=by[:, None] > 0).astype(np.float32)
+    left, right, n, found = unit(asked, length), unit(m, norm).T, len(m), []
+    groups = n // 64
+    for at in range(0, len(asked), 64):
+        rough = left[at : at + 64] @ right
+        # A bound that k entries reach: the k-th best of the groups' maxima, or the k-th best itself.
+        tops = rough[:, : groups * 64].reshape(len(rough), 64, groups).max(axis=1) if groups > k else rough
+        least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] - 1e-4 if n > k else np.full(len(rough), -np.inf)
+        i, j = np.nonzero(~(rough < least[:, None]))  # so that a NaN stays
+        score = np.zeros(len(i))
+        for part in range(0, len(i), 100_000):
+            x, y = i[part : part + 100_000] + at, j[part : part + 100_000]
+            size = norm[y] * length[x]
+            # Rounded, so that equal vectors tie whatever the block's shape.
+            score[part : part + 100_000] = np.round(np.divide((m[y] * asked[x]).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0), 12)
+        order = np.lexsort((rank[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[top] + at, j[top], score[top]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _block(k: int):  # noqa: ANN202
     def best(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -34,38 +63,31 @@ def _block(k: int):  # noqa: ANN202
         if q.num_rows and e.num_rows:
             vectors = lambda t: [np.asarray(v, np.float64) for v in t.column("vector").combine_chunks().to_numpy(zero_copy_only=False)]
             entries, keys = vectors(e), np.array(e.column("key").to_pylist(), object)
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(entries):
-                by_size.setdefault(len(v), []).append(i)
-            unit = {}
-            for n, at in by_size.items():
-                m = np.array([entries[i] for i in at]).reshape(len(at), n)
-                norm = np.sqrt((m * m).sum(axis=1))
-                unit[n] = (np.array(at), m, norm)
+            asked, names = vectors(q), np.array(q.column("key").to_pylist(), object)
             rank = np.argsort(np.argsort(keys.astype("U")))  # ties by id; ids are compared as code points, as bytes are
-            for name, v in zip(q.column("key").to_pylist(), vectors(q), strict=True):
-                score = np.zeros(len(entries))
-                if len(v) in unit and (length := float(np.sqrt(v @ v))) > 0:
-                    at, m, norm = unit[len(v)]
-                    # Rounded, so that equal vectors tie whatever the block's shape.
-                    score[at] = np.round(np.divide(m @ v, norm * length, out=np.zeros(len(at)), where=norm > 0), 12)
-                top = np.lexsort((rank, -score))[:k]
-                out[0].extend([name] * len(top))
-                out[1].extend(keys[top].tolist())
-                out[2].extend(score[top].tolist())
+            for n in sorted({len(v) for v in asked}):
+                m = np.zeros((len(entries), n))  # an entry of another length stays zero
+                fit = [i for i, v in enumerate(entries) if len(v) == n]
+                m[fit] = np.array([entries[i] for i in fit]).reshape(len(fit), n)
+                mine = np.array([i for i, v in enumerate(asked) if len(v) == n])
+                i, j, score = _best_of(np.array([asked[x] for x in mine]).reshape(len(mine), n), m, rank, k)
+                out[0].extend(names[mine[i]].tolist())
+                out[1].extend(keys[j].tolist())
+                out[2].extend(score.tolist())
         return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "score"])
 
     return best
 
 
-def cosine_topk(questions: DataFrame, vectors: DataFrame, k: int, scope: str = "collection", where: Column | None = None) -> DataFrame:
+def cosine_topk(questions: DataFrame, vectors: DataFrame, k: int, scope: str = "collection", where: Column | None = None, query_block: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, pos): exact cosine, the ``k`` best of the question's scope.
 
     ``questions``: (query_id, scope column, vector); ``vectors``: (chunk_id, scope column, vector,
     ...). Rows that fail ``where`` take no part. A cosine with a vector of another length, an
     empty, null or zero one is 0. Both sides are cut into blocks by hash; a block of questions
     meets each block of vectors in a task of its own, whose size no collection changes. Blocks
-    keep their own ``k`` best, so what is ranked again is small.
+    keep their own ``k`` best, so what is ranked again is small. ``query_block``: questions in a
+    block; many where there are about as many questions as vectors, so that both are copied alike.
     """
     if k <= 0:
         return questions.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, pos int")
@@ -74,7 +96,7 @@ def cosine_topk(questions: DataFrame, vectors: DataFrame, k: int, scope: str = "
     asked = questions.select(F.col("query_id").cast("string").alias("key"), F.col(scope).alias("scope"), F.coalesce("vector", F.array().cast("array<float>")).alias("vector"))
     sizes = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     asks = asked.groupBy("scope").agg(F.count(F.lit(1)).alias("m"))
-    plan = sizes.join(asks, "scope").select("scope", F.ceil(F.col("n") / ENTRY_BLOCK).cast("int").alias("eb"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("qb"))
+    plan = sizes.join(asks, "scope").select("scope", F.ceil(F.col("n") / ENTRY_BLOCK).cast("int").alias("eb"), F.ceil(F.col("m") / (query_block or QUERY_BLOCK)).cast("int").alias("qb"))
     number = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = asked.join(plan, "scope").withColumn("q", number("qb")).withColumn("e", every("eb")).withColumn("side", F.lit(0))

@@ -78,7 +78,7 @@ def cosine_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_collection_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every asking vector of the handbook in all collections of its space: the best of each, merged and tagged."""
+    """cross_collection_topk_all for the asking vectors of the handbook, a share that SQL can check."""
     space = read(spark, sf_dir, "collections").groupBy("name").agg(F.max("model").alias("model"), F.max("dimensions").alias("dimensions"))
     own = asking_vectors(spark, sf_dir).where("collection = 'handbook'").join(space.withColumnRenamed("name", "collection"), "collection").drop("collection")
     asked = own.join(space.withColumnRenamed("name", "collection"), ["model", "dimensions"]).select("query_id", "collection", "vector")
@@ -88,13 +88,48 @@ def cross_collection_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector of one collection against those of another; vectors without a match stay, unmatched."""
+    """similarity_join_all for one pair of collections, a share that SQL can check; vectors without a match stay, unmatched."""
     v = vectors_of(spark, sf_dir)
     asked = v.where("collection = 'handbook'").select(F.col("chunk_id").alias("query_id"), F.lit("team-blog").alias("collection"), "vector")
     found = search.cosine_topk(asked, v, 3)
     return _round(asked.select("query_id").join(found, "query_id", "left"), "score")
 
 
+def _comparable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(collection, target): collections of one space, that is of the same model and dimensions, each with itself too."""
+    space = read(spark, sf_dir, "collections").groupBy("name").agg(F.max("model").alias("model"), F.max("dimensions").alias("dimensions"))
+    return space.withColumnRenamed("name", "collection").join(space.withColumnRenamed("name", "target"), ["model", "dimensions"]).select("collection", "target")
+
+
+def _in_each(asked: DataFrame, vectors: DataFrame, k: int, query_block: int | None = None) -> DataFrame:
+    """(query_id, collection, target, chunk_id, score, pos): the ``k`` best of each target; ``asked``: (query_id, collection, target, vector)."""
+    named = asked.select(F.concat_ws("\0", "target", "collection", "query_id").alias("query_id"), F.col("target").alias("collection"), "vector")
+    part = F.split("query_id", "\0", 3)
+    found = search.cosine_topk(named, vectors, k, query_block=query_block)
+    return found.select(part[2].alias("query_id"), part[1].alias("collection"), part[0].alias("target"), "chunk_id", "score", "pos")
+
+
+def cross_collection_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every asking vector, of whatever collection, in all collections of its space: the best of them all, tagged."""
+    space = read(spark, sf_dir, "collections").groupBy(F.col("name").alias("collection")).agg(F.max("model").alias("model"), F.max("dimensions").alias("dimensions"))
+    space = space.where("model is not null and dimensions is not null").select("collection", F.concat_ws("\0", "model", F.col("dimensions").cast("string")).alias("space"))
+    v = vectors_of(spark, sf_dir).join(space, "collection")
+    asked = asking_vectors(spark, sf_dir).join(space, "collection")
+    found = search.cosine_topk(asked, v, K, "space", query_block=search.ENTRY_BLOCK)
+    return _round(found.join(v.select("chunk_id", "collection"), "chunk_id").select("query_id", "chunk_id", "score", "collection", "pos"), "score")
+
+
+def similarity_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against those of every other collection of its space, 3 of each; without a match it stays, unmatched."""
+    v = vectors_of(spark, sf_dir)
+    others = _comparable(spark, sf_dir).where("collection != target")
+    asked = v.withColumnRenamed("chunk_id", "query_id").join(others, "collection", "left")
+    found = _in_each(asked.where("target is not null"), v, 3, search.ENTRY_BLOCK)
+    held = v.select(F.col("collection").alias("target")).distinct()
+    alone = asked.join(held, "target", "left_anti").select("query_id", "collection", "target")
+    return _round(found.unionByName(alone, allowMissingColumns=True), "score")
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(search.bm25_topk(questions_of(spark, sf_dir), chunks_of(spark, sf_dir), K), "score")
 

@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from corpusmill.operators import search
+from corpusmill.plans import queries
+
+
+@pytest.fixture(scope="module")
+def place(spark, tmp_path_factory):
+    """Three collections of one space, one alone in its space, and an empty one of the first space."""
+    root = str(tmp_path_factory.mktemp("tables"))
+    rng = np.random.default_rng(2)
+    rows = [(f"{c}{i:02d}:{i}", c, rng.normal(size=n).round(1).tolist()) for c, n, m in (("a", 3, 45), ("b", 3, 30), ("c", 3, 25), ("x", 4, 22)) for i in range(m)]
+    rows += [("c98:98", "c", [0.0, 0.0, 0.0]), ("b99:99", "b", rows[0][2])]
+    spark.createDataFrame(rows, "chunk_id string, collection string, vector array<float>").write.parquet(f"{root}/vectors.parquet")
+    spaces = [("a", "m", 3), ("b", "m", 3), ("c", "m", 3), ("empty", "m", 3), ("x", "m", 4)]
+    spark.createDataFrame(spaces, "name string, model string, dimensions int").write.parquet(f"{root}/collections.parquet")
+    return root, [(i, c, np.array(v, np.float32).astype(float)) for i, c, v in rows]
+
+
+def cosine(a, b):
+    size = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return round(float(a @ b / size), 12) if size > 0 else 0.0
+
+
+def best(v, entries, k):
+    return sorted(((-cosine(v, w), i, c) for i, c, w in entries), key=lambda r: r[:2])[:k]
+
+
+def test_similarity_join_asks_every_collection_against_every_other(spark, place):
+    root, rows = place
+    want = {(i, c, None if c == "x" else "empty", None, None, None) for i, c, _ in rows}
+    for i, c, v in rows:
+        for target in set("abc") - {c} if c != "x" else ():
+            want |= {(i, c, target, j, round(-s, 6), pos) for pos, (s, j, _) in enumerate(best(v, [r for r in rows if r[1] == target], 3), 1)}
+    got = queries.similarity_join_all(spark, root).select("query_id", "collection", "target", "chunk_id", "score", "pos").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_cross_collection_topk_asks_for_every_collection(spark, place):
+    root, rows = place
+    asked = [r for r in rows if int(r[0].split(":")[1]) % 20 == 0]
+    assert {c for _, c, _ in asked} == {"a", "b", "c", "x"}
+    want = {(i, j, round(-s, 6), d, pos) for i, c, v in asked for pos, (s, j, d) in enumerate(best(v, [r for r in rows if (r[1] == "x") == (c == "x")], queries.K), 1)}
+    got = queries.cross_collection_topk_all(spark, root).select("query_id", "chunk_id", "score", "collection", "pos").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("n", [2, 3, 150, 3000])
+def test_best_of_against_a_full_sort(n):
+    rng = np.random.default_rng(n)
+    m = rng.integers(-2, 3, (n, 5)).astype(float)  # many ties, some zero vectors
+    asked = np.concatenate([rng.integers(-2, 3, (80, 5)), np.zeros((1, 5))]).astype(float)
+    rank = rng.permutation(n)
+    i, j, score = search._best_of(asked, m, rank, 3)
+    got = {x: list(zip(-score[i == x], rank[j[i == x]], strict=True)) for x in range(len(asked))}
+    assert all(got[x] == sorted((-cosine(asked[x], m[y]), rank[y]) for y in range(n))[:3] for x in range(len(asked)))
