@@ -25,12 +25,15 @@ def corpus_digest(documents: DataFrame) -> DataFrame:
     return documents.groupBy("collection").agg(F.sha2(text, 256).alias("digest"), F.max("ingested_at").alias("last_ingest"))
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(source_uri, status): added, removed or changed between two sets of documents; equal ones are left out."""
-    a = old.select("source_uri", F.col("hash").alias("_old"), F.lit(1).alias("_a"))
-    b = new.select("source_uri", F.col("hash").alias("_new"), F.lit(1).alias("_b"))
+NAME = ("source_uri",)
+
+
+def diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = NAME) -> DataFrame:
+    """(keys, status): added, removed or changed between two sets of documents; equal ones are left out."""
+    a = old.select(*keys, F.col("hash").alias("_old"), F.lit(1).alias("_a"))
+    b = new.select(*keys, F.col("hash").alias("_new"), F.lit(1).alias("_b"))
     status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
-    return a.join(b, "source_uri", "full").select("source_uri", status.alias("status")).where("status is not null")
+    return a.join(b, list(keys), "full").select(*keys, status.alias("status")).where("status is not null")
 
 
 def prunable(stored: DataFrame, present: DataFrame) -> DataFrame:
@@ -38,15 +41,15 @@ def prunable(stored: DataFrame, present: DataFrame) -> DataFrame:
     return stored.join(present.select("source_uri").distinct(), "source_uri", "left_anti")
 
 
-def outcomes(walked: DataFrame, stored: DataFrame) -> DataFrame:
-    """(source_uri, outcome) of a walk against the store: new, unchanged by fingerprint, unchanged by content, or changed.
+def outcomes(walked: DataFrame, stored: DataFrame, keys: tuple[str, ...] = NAME) -> DataFrame:
+    """(keys, outcome) of a walk against the store: new, unchanged by fingerprint, unchanged by content, or changed.
 
     A fingerprint spares reading the file; where it moved, the content's hash decides.
     """
-    s = stored.select("source_uri", F.col("fingerprint").alias("_f"), F.col("hash").alias("_h"), F.lit(1).alias("_s"))
+    s = stored.select(*keys, F.col("fingerprint").alias("_f"), F.col("hash").alias("_h"), F.lit(1).alias("_s"))
     same_file = (F.col("fingerprint") != "") & (F.col("fingerprint") == F.col("_f"))
     kind = F.when(F.col("_s").isNull(), "new").when(same_file, "unchanged").when(F.col("hash") == F.col("_h"), "refreshed").otherwise("changed")
-    return walked.join(s, "source_uri", "left").select("source_uri", kind.alias("outcome"))
+    return walked.join(s, list(keys), "left").select(*keys, kind.alias("outcome"))
 
 
 def status(collections: DataFrame, documents: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -108,6 +108,26 @@ def previous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.withColumn("previous_no", F.lag("snapshot_no").over(order))
 
 
+def run_pairs(clean: DataFrame, previous: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the run before and of the run itself, both under the number of the run, for every run that has one before it.
+
+    ``clean``: as of :func:`clean_snapshots`; ``previous``: (snapshot_no, collection, previous_no)
+    of every complete run. An unknown hash is taken as the last known one since the file was
+    added, or else as the first one to come, so that it makes no change.
+    """
+    number = F.row_number().over(Window.partitionBy("collection").orderBy("snapshot_no"))
+    numbered = clean.join(previous.withColumn("_n", number), ["snapshot_no", "collection"])
+    file = Window.partitionBy("collection", "source_uri").orderBy("snapshot_no")
+    since = Window.partitionBy("collection", "source_uri", "_stay").orderBy("snapshot_no")
+    last = F.last("hash", True).over(since.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("hash", True).over(since.rowsBetween(0, Window.unboundedFollowing))
+    known = numbered.withColumn("_stay", F.col("_n") - F.row_number().over(file)).withColumn("hash", F.coalesce(last, first)).drop("_n", "_stay")
+    new = known.where("previous_no is not null").drop("previous_no")
+    after = previous.where("previous_no is not null").select("collection", F.col("previous_no").alias("_of"), F.col("snapshot_no").alias("_after"))
+    old = known.withColumnRenamed("snapshot_no", "_of").join(after, ["collection", "_of"]).withColumnRenamed("_after", "snapshot_no").select(*new.columns)
+    return old, new
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = keep(clean_snapshots(spark, sf_dir), "snapshots")
     return snapshot_changes(clean, complete_runs(spark, sf_dir)).select("snapshot_no", "collection", "source_uri", "change_kind")

@@ -10,7 +10,7 @@ from corpusmill.functions.globs import source_matches
 from corpusmill.functions.predicates import predicate
 from corpusmill.functions.text import terms, words
 from corpusmill.functions.uris import basename
-from corpusmill.operators import chunking, claims, corpus, evaluate, rank, search
+from corpusmill.operators import chunking, claims, corpus, evaluate, rank, search, snapshots
 from corpusmill.plans import answer, ports
 from corpusmill.sources import evalset, extract
 from corpusmill.tables import keep, read
@@ -264,21 +264,42 @@ def _run(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
 
 
 def collection_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of run 4 against those of run 5 as written, collections kept apart."""
+    """The rows of run 4 against those of run 5 as written, collections kept apart: what SQL checks; collection_diff_all has every run."""
     return corpus.diff(_run(spark, sf_dir, 4), _run(spark, sf_dir, 5))
 
 
+STEP = ("snapshot_no", "collection", "source_uri")
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    clean = keep(snapshots.clean_snapshots(spark, sf_dir, ("fingerprint",)), "snapshots")
+    old, new = snapshots.run_pairs(clean, snapshots.previous_runs(spark, sf_dir))
+    return keep(old, "run-before"), keep(new, "run")
+
+
+def collection_diff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every complete run of every collection against its complete run before, by files and digests."""
+    return corpus.diff(*_steps(spark, sf_dir), STEP)
+
+
 def prune_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents that no run delivered."""
     return corpus.prunable(documents_of(spark, sf_dir).select("id", "source_uri"), read(spark, sf_dir, "doc_snapshots").select("source_uri")).select("id", "source_uri")
 
 
 def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an ingest of run 6 would do to a store of run 5."""
+    """What an ingest of run 6 would do to a store of run 5, as written: what SQL checks; ingest_outcomes_all has every run."""
     found = corpus.outcomes(_run(spark, sf_dir, 6), _run(spark, sf_dir, 5))
     return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def ingest_outcomes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an ingest of every complete run would do to a store of the complete run before, per run and collection."""
+    old, new = _steps(spark, sf_dir)
+    found = corpus.outcomes(new, old, STEP)
+    return found.groupBy("snapshot_no", "collection", "outcome").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.status(read(spark, sf_dir, "collections"), documents_of(spark, sf_dir), vectors_of(spark, sf_dir))
 

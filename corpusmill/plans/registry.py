@@ -12,7 +12,7 @@ from corpusmill.plans import sql
 
 QUERIES = (
     q.cosine_topk, q.cosine_topk_filtered, q.cosine_explain, q.cross_collection_topk, q.similarity_join, q.bm25_topk, q.bm25_filtered,
-    q.cross_collection_topk_all, q.similarity_join_all,
+    q.cross_collection_topk_all, q.similarity_join_all, q.collection_diff_all, q.ingest_outcomes_all,
     q.hybrid_rrf, q.fuse_lists, q.source_glob_overfetch, q.hydrate_hits, q.cap_per_source, q.token_budget, q.recency_decay,
     q.score_distribution, q.mmr_select, q.rerank_pool, q.where_numeric, q.where_date, q.where_tags, q.inferred_time, q.path_date,
     q.term_statistics, q.chunk_lengths, q.fixed_chunks, q.structured_chunks, q.document_identity, q.corpus_digest, q.collection_diff,

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from corpusmill.operators import search
+from corpusmill.operators import search, snapshots
 from corpusmill.plans import queries
 
 
@@ -57,3 +57,33 @@ def test_best_of_against_a_full_sort(n):
     i, j, score = search._best_of(asked, m, rank, 3)
     got = {x: list(zip(-score[i == x], rank[j[i == x]], strict=True)) for x in range(len(asked))}
     assert all(got[x] == sorted((-cosine(asked[x], m[y]), rank[y]) for y in range(n))[:3] for x in range(len(asked)))
+
+
+@pytest.fixture(scope="module")
+def runs(spark, tmp_path_factory):
+    """Seven runs: collection k in all but 3, of which 5 broke off; collection late only in 6 and 7."""
+    root = str(tmp_path_factory.mktemp("runs"))
+    complete = [(n, "k", "aborted" if n == 5 else "complete") for n in (1, 2, 4, 5, 6, 7)] + [(6, "late", "complete"), (7, "late", "complete")]
+    spark.createDataFrame(complete, "snapshot_no int, collection string, status string").write.parquet(f"{root}/snapshot_runs.parquet")
+    held = {"same": "1 1 1 9 1 1", "gone": "1 1 - - 1 -", "new": "- 1 2 - 2 3", "dark": "1 ? 1 - ? 2", "first": "? ? 5 - 5 5"}
+    rows = [(n, "k", f"file:///{u}", None if h == "?" else h * 64, f"f{h}") for u, of in held.items() for n, h in zip((1, 2, 4, 5, 6, 7), of.split(), strict=True) if h != "-"]
+    rows += [(6, "late", "file:///a", "1" * 64, "x"), (7, "late", "file:///a", "1" * 64, "y"), (7, "late", "file://localhost/b", "1" * 64, "x")]
+    snaps = spark.createDataFrame(rows, "snapshot_no int, collection string, source_uri string, hash string, fingerprint string")
+    snaps.selectExpr("*", "timestamp'2025-01-01 00:00:00' as loaded_at").write.parquet(f"{root}/doc_snapshots.parquet")
+    return root
+
+
+def test_diff_of_every_run(spark, runs):
+    got = sorted((r.snapshot_no, r.collection, r.source_uri[8:], r.status) for r in queries.collection_diff_all(spark, runs).collect())
+    assert got == [(2, "k", "new", "added"), (4, "k", "gone", "removed"), (4, "k", "new", "changed"), (6, "k", "gone", "added"), (7, "k", "dark", "changed"), (7, "k", "gone", "removed"), (7, "k", "new", "changed"), (7, "late", "b", "added")]
+
+
+def test_outcomes_of_every_run(spark, runs):
+    got = {(r.snapshot_no, r.collection, r.outcome): r.documents for r in queries.ingest_outcomes_all(spark, runs).collect()}
+    assert got[(7, "late", "refreshed")] == got[(7, "late", "new")] == 1 and got[(7, "k", "changed")] == 2 and got[(7, "k", "unchanged")] == 2
+    assert {n for n, c, _ in got if c == "k"} == {2, 4, 6, 7} and {n for n, c, _ in got if c == "late"} == {7}
+
+
+def test_diff_of_every_run_is_what_the_snapshot_index_finds(spark, sf):
+    a, b = queries.collection_diff_all(spark, sf), snapshots.p3_found(spark, sf)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and b.count()
