@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from corpusmill.errors import UsageError
 from corpusmill.llm import neardup
 from corpusmill.llm.neardup import NearDuplicates, connected, words
 
@@ -92,6 +93,12 @@ def test_large_class_of_different_texts_keeps_every_pair(spark, monkeypatch, blo
     assert some == {p for p in brute(rows) if not gone & set(p)} | {(f"a{i - 1:02d}", f"a{i:02d}") for i in range(1, 70, 2)}
 
 
+def test_lower_similarity_is_refused(spark):
+    with pytest.raises(UsageError):
+        NearDuplicates(spark.createDataFrame([("a", "x")], "id string, text string"), 0.5)
+    assert [round(neardup.miss_rate(s), 3) for s in (0.6, 0.68, 0.75)] == [0.172, 0.033, 0.003]
+
+
 def test_components(spark):
     path = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y"), ("hub", "h1"), ("hub", "h2"), ("h2", "h3")]
     got = {r.u: r.root for r in connected(spark.createDataFrame(path, "u string, v string")).collect()}
