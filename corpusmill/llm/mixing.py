@@ -1,15 +1,18 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact token length. Per source the counts alone decide how
-many documents of each length come in: a proportional part of each length first, then bounded
-knapsack dynamic programming for what remains of the budget. Only then are documents drawn, in
-seeded order within their length.
+many documents of each length come in: a proportional part of each length first, its fractions
+rounded by one seeded draw along the lengths, so that the mix is a sample and neither long nor
+short documents are preferred; then bounded knapsack dynamic programming, over lengths in seeded
+order, for what remains of the budget. Only then are documents drawn, in seeded order within
+their length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from corpusmill.llm.tokens import VOCABULARY, token_counts
 from corpusmill.tables import keep, read
 
 SEED = 11
-WINDOW = 16_384  # the last tokens of a budget, fitted exactly
+RESERVE = 8  # documents of mean length whose tokens the proportional part leaves to the knapsack
 RUN = 10_000  # documents of one length that are ranked together
 
 
@@ -49,7 +52,10 @@ def budgets(weights: dict[str, float], most: dict[str, int], total: int) -> dict
 
 
 def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length reach the greatest total up to ``budget``; sums are the bits of an integer."""
+    """How many of each length reach the greatest total up to ``budget``; sums are the bits of an integer.
+
+    Lengths are taken up in the given order and only until the budget can be met exactly.
+    """
     mask = (1 << (budget + 1)) - 1
     items, reach, sums = [], [1], 1
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
@@ -73,31 +79,44 @@ def subset_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return chosen
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take, none more than there are, for a total up to ``budget`` and near it."""
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, reserve: int = RESERVE) -> np.ndarray:
+    """How many documents of each length to take, none more than there are, for a total up to ``budget`` and near it.
+
+    One seeded offset rounds the running sum of the expected counts along the lengths: each
+    count is its expectation rounded up or down, and so is that of every range of lengths, which
+    keeps the mean length. The knapsack then fills what is left, at most the reserve and the
+    longest document beside it, with one document after another in seeded order.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = (counts * (budget / total)).astype(np.int64)
-    left = budget - int((lengths * taken).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= window:
-            break
-        more = int(min(counts[i] - taken[i], (left - window // 2) // lengths[i]))
-        taken[i] += max(0, more)
-        left -= max(0, more) * int(lengths[i])
-    fits = np.flatnonzero((lengths <= left) & (counts > taken))
-    fits = fits[np.argsort(-lengths[fits], kind="stable")]
-    if left > 0 and len(fits):
-        extra = subset_sum(lengths[fits].tolist(), (counts - taken)[fits].tolist(), min(left, 4 * window))
-        taken[fits] += np.array(extra)
+    rng = np.random.default_rng(seed)
+    rate = max(0.0, budget - reserve * total / counts.sum()) / total
+    steps = np.floor(np.cumsum(counts * rate) + rng.random()).astype(np.int64)
+    taken = np.minimum(np.diff(steps, prepend=0), counts)
+    left = int(budget) - int((lengths * taken).sum())
+    while left < 0:  # rounding took more than the reserve: one document that is long enough goes
+        held = np.flatnonzero(taken)
+        enough = held[lengths[held] >= -left]
+        gone = enough[0] if len(enough) else held[-1]
+        taken[gone] -= 1
+        left += int(lengths[gone])
+    free = np.flatnonzero((lengths <= left) & (counts > taken))
+    if left > 0 and len(free):
+        free = free[np.argsort(rng.random(len(free)) ** (1.0 / (counts - taken)[free]))[::-1]]  # as documents drawn one by one would bring them up
+        extra = np.array(subset_sum(lengths[free].tolist(), (counts - taken)[free].tolist(), left))
+        taken[free] += extra
     return taken
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("n_tokens", ignore_index=True)
-    take = fit_counts(pdf.n_tokens.to_numpy(), pdf.n.to_numpy(), int(pdf["rest"].iloc[0]))
-    return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf.n_tokens, "n": pdf.n, "whole": pdf["whole"], "take": take})
+def _fit(seed: int):  # noqa: ANN202
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n_tokens", ignore_index=True)
+        own = xxhash.xxh32_intdigest(pdf["source"].iloc[0], seed & 0xFFFFFFFF)
+        take = fit_counts(pdf.n_tokens.to_numpy(), pdf.n.to_numpy(), int(pdf["rest"].iloc[0]), own)
+        return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf.n_tokens, "n": pdf.n, "whole": pdf["whole"], "take": take})
+
+    return fit
 
 
 def mix(lengths: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +141,7 @@ def mix(lengths: DataFrame, targets: DataFrame, total: int | None = None, seed:
     norm = sum(weights.values()) or 1.0
     rows = [(s, w / norm, repeats[s], plan[s], plan[s] // held[s] if s in held else 0, plan[s] % held[s] if s in held else 0) for s, w in sorted(weights.items())]
     planned = spark.createDataFrame(rows, schema)
-    fitted = counts.join(planned, "source").select("source", "n_tokens", "n", "whole", "rest").groupBy("source").applyInPandas(_fit, "source string, n_tokens long, n long, whole int, take long")
+    fitted = counts.join(planned, "source").select("source", "n_tokens", "n", "whole", "rest").groupBy("source").applyInPandas(_fit(seed), "source string, n_tokens long, n long, whole int, take long")
     fitted = keep(fitted, "length-takes")
     # Documents of one length in seeded order; many of them are ranked in runs of the hash's range.
     order = F.xxhash64(F.lit(seed), "doc_id")
@@ -153,5 +172,10 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0]
 
 
+def p7_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target what its source holds: documents with any token, and how often each may be used."""
+    return _mixed(spark, sf_dir)[1].select("source", F.round("target_weight", 6).alias("target_weight"), "max_repeats", "held_docs")
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]

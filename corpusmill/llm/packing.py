@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity by swap-based local search.
 
 Documents are spread over groups by hash. A group starts from best fit by decreasing size; then
-its emptiest container gives documents away, moving one, or exchanging one for one or two for
-one, whenever that raises the sum of squared fills, until it is empty or nothing helps. What
-stays underfull in any group goes to the next round, where the leftovers of many groups meet.
+its containers, the emptiest first, give documents away, moving one, or exchanging one for one or
+two for one, always by the trade with any other container that raises the sum of squared fills
+most, until they are empty or nothing helps. What stays underfull in any group goes to the next
+round, where the leftovers of many groups meet.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ CAPACITY = 2048
 GROUP = 8192  # documents packed together
 ROUNDS = 4
 FULL = 0.995  # containers below go to the next round
-PARTNERS = 48  # underfull containers that one container trades with
-STEPS = 200  # exchanges per container and turn
-TURNS = 4  # of a container, about
+MOST_TASKS = 20_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -45,65 +44,88 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _trade(own: list[int], sizes: np.ndarray, other: np.ndarray, room: np.ndarray) -> tuple[list[int], int] | None:
-    """The exchange that takes most out of ``own``: positions given away, and which of ``other`` comes back (-1 none).
-
-    ``other`` holds the sizes in the partner containers, a 0 for each container standing for a
-    plain move; ``room`` the free space beside each.
-    """
-    mine = sizes[own]
-    best, gives, takes = 0, [], -1
-    single = mine[:, None] - other[None, :]
-    single = np.where((single > 0) & (single <= room[None, :]), single, 0)
-    i, j = np.unravel_index(single.argmax(), single.shape)
-    if single[i, j] > best:
-        best, gives, takes = single[i, j], [int(i)], int(j)
-    if len(own) > 1:
-        x, y = np.triu_indices(len(own), 1)
-        if len(x) > 512:
-            x, y = x[:512], y[:512]
-        double = (mine[x] + mine[y])[:, None] - other[None, :]
-        double = np.where((double > 0) & (double <= room[None, :]) & (other[None, :] > 0), double, 0)
-        i, j = np.unravel_index(double.argmax(), double.shape)
-        if double[i, j] > best:
-            best, gives, takes = double[i, j], [int(x[i]), int(y[i])], int(j)
-    return (gives, takes) if best > 0 else None
+class _Room:
+    """The underfull containers of a group as flat arrays: a container's documents, and one place of size 0 that stands for a plain move."""
+
+    def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        self.bins = [list(b) for b in bins]
+        self.fill = np.array([int(sizes[b].sum()) for b in bins], np.int64)
+        self.item = np.r_[np.concatenate([np.asarray(b, np.int64) for b in bins]), np.full(len(bins), -1)]
+        self.owner = np.r_[np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.arange(len(bins))]
+        self.size = np.where(self.item >= 0, sizes[self.item], 0)
+        self.place = {int(x): i for i, x in enumerate(self.item) if x >= 0}
+
+    def best(self, e: int) -> tuple[list[int], int] | None:
+        """The trade of container ``e`` that raises the squared fill most: documents given, and the place of what comes back.
+
+        A container's documents have few distinct sizes (their sum is bounded), and so have its
+        pairs; against each place of the others only the largest that still fits can be best.
+        """
+        own = np.array(self.bins[e], np.int64)
+        mine, first = np.unique(self.sizes[own], return_index=True)
+        counts = np.bincount(np.searchsorted(mine, self.sizes[own]))
+        x, y = np.triu_indices(len(mine))
+        twice = (x != y) | (counts[x] > 1)
+        x, y = x[twice], y[twice]
+        pairs, at = np.unique(mine[x] + mine[y], return_index=True)
+        room = self.capacity - self.fill[self.owner] + self.size
+        ahead = self.fill[self.owner] - self.fill[e]
+        there = (self.owner != e) & (self.fill[self.owner] > 0)
+        best, found = 0, None
+        for values, double in ((mine, False), (pairs, True)):
+            if not len(values):
+                continue
+            most = np.searchsorted(values, room, "right") - 1
+            moved = values[np.maximum(most, 0)] - self.size
+            gain = np.where(there & (most >= 0) & (moved > 0) & (self.size > 0 if double else True), moved * (ahead + moved), 0)
+            j = int(gain.argmax())
+            if gain[j] > best:
+                best = int(gain[j])
+                v = int(most[j])
+                if double:
+                    a, b = int(x[at[v]]), int(y[at[v]])
+                    same = np.flatnonzero(self.sizes[own] == mine[a])
+                    given = [int(own[same[0]]), int(own[same[1]] if a == b else own[first[b]])]
+                else:
+                    given = [int(own[first[v]])]
+                found = (given, j)
+        return found
+
+    def trade(self, e: int, given: list[int], j: int) -> None:
+        b, back = int(self.owner[j]), int(self.item[j])
+        for x in given:
+            self.owner[self.place[x]] = b
+            self.bins[e].remove(x)
+            self.bins[b].append(x)
+        if back >= 0:
+            self.owner[j] = e
+            self.bins[b].remove(back)
+            self.bins[e].append(back)
+        moved = int(self.sizes[given].sum()) - int(self.size[j])
+        self.fill[e] -= moved
+        self.fill[b] += moved
 
 
 def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search over underfull containers; empties what it can, never adds one."""
-    fill = np.array([int(sizes[b].sum()) for b in bins])
-    stuck: set[int] = set()
-    alive = set(np.flatnonzero(fill < capacity).tolist())
-    for _ in range(TURNS * len(alive) + TURNS):
-        open_ = sorted((b for b in alive if fill[b] < capacity), key=lambda b: (fill[b], b))
-        givers = [b for b in open_ if b not in stuck]
-        if len(open_) < 2 or not givers:
-            break
-        e, traded = givers[0], False
-        for _ in range(STEPS):
-            # Fuller containers only, so that every exchange raises the squared fill.
-            partners = [b for b in open_ if b != e and bins[b] and capacity > fill[b] >= fill[e]][:PARTNERS]
-            if not partners or not bins[e]:
-                break
-            other = np.concatenate([np.r_[0, sizes[bins[b]]] for b in partners])
-            owner = np.repeat(np.arange(len(partners)), [len(bins[b]) + 1 for b in partners])
-            place = np.concatenate([np.arange(-1, len(bins[b])) for b in partners])
-            found = _trade(bins[e], sizes, other, capacity - fill[partners][owner])
-            if not found:
-                break
-            gives, j = found
-            b = partners[int(owner[j])]
-            given = [bins[e][i] for i in gives]
-            bins[e] = [x for i, x in enumerate(bins[e]) if i not in gives]
-            if place[j] >= 0:
-                bins[e].append(bins[b].pop(int(place[j])))
-            bins[b].extend(given)
-            fill[e], fill[b], traded = int(sizes[bins[e]].sum()), int(sizes[bins[b]].sum()), True
-        stuck = {e} if traded else stuck | {e}  # what others could not do before, they may now
-        if not bins[e]:
-            alive.discard(e)
-    return [b for b in bins if b]
+    """Local search over underfull containers, to the end; empties what it can, never adds one.
+
+    Every trade raises the sum of squared fills, which is bounded, so the search ends. A
+    container that is full has no room, and no trade with it can raise the sum.
+    """
+    fills = [int(sizes[b].sum()) for b in bins]
+    done = [b for b, f in zip(bins, fills, strict=True) if f >= capacity]
+    under = [b for b, f in zip(bins, fills, strict=True) if f < capacity]
+    if len(under) < 2:
+        return done + under
+    room, moved = _Room(under, sizes, capacity), True
+    while moved:
+        moved = False
+        for e in np.argsort(room.fill, kind="stable").tolist():
+            while 0 < room.fill[e] < capacity and (found := room.best(e)):
+                room.trade(e, *found)
+                moved = True
+    return done + [b for b in room.bins if b]
 
 
 def _pack(capacity: int, label: str):  # noqa: ANN202
@@ -143,7 +165,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, group: int = GROUP, round
     for r in range(rounds):
         groups = max(1, -(-count // group))
         grouped = pool.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(groups)).cast("int"))
-        packed = keep(grouped.groupBy("grp").applyInArrow(_pack(capacity, f"r{r}"), "doc_id long, piece int, tokens long, container string, fill long"), "packed")
+        # A task for each group whatever its bytes: the work is computing.
+        packed = keep(grouped.repartition(min(groups, MOST_TASKS), "grp").groupBy("grp").applyInArrow(_pack(capacity, f"r{r}"), "doc_id long, piece int, tokens long, container string, fill long"), "packed")
         if groups == 1 or r == rounds - 1:
             return _placed(out.unionByName(packed), capacity)
         out = out.unionByName(packed.where(F.col("fill") >= full * capacity))

@@ -31,6 +31,27 @@ def test_exchanges_empty_a_container():
     assert len(bins) == 2
 
 
+def test_two_for_one_with_very_many_documents():
+    # 5 of 6 containers are full but for 2; only two of the last container's ones fit each.
+    sizes = np.array([98] * 5 + [1] * 10)
+    bins = improve([[i] for i in range(5)] + [list(range(5, 15))], sizes, 100)
+    assert len(bins) == 5
+    sizes = np.array([60, 35, 55, 40, 7, 6, 5, 4] + [1] * 88)
+    bins = improve([[0, 1], [2, 3], [4, 5, 6, 7, *range(8, 86)], list(range(86, 96))], sizes, 100)
+    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(96))
+
+
+def test_every_trade_raises_the_squared_fill():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = rng.integers(1, 60, 60)
+        bins = [list(range(i, 60, 30)) for i in range(30)]
+        bins = [b for b in bins if sizes[b].sum() <= 100]
+        after = improve([b[:] for b in bins], sizes, 100)
+        squares = lambda x: sum(int(sizes[b].sum()) ** 2 for b in x)
+        assert squares(after) >= squares(bins) and sorted(i for b in after for i in b) == sorted(i for b in bins for i in b)
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, 1, 7, 100, 333, 1000, 2048, 5000]), "x") for i in range(3000)] + [(9000, None, "x"), (9001, 4096, "x")]
@@ -75,6 +96,21 @@ def test_fit_counts_and_budgets():
     assert budgets({}, {}, 5) == {}
 
 
+def test_the_draw_prefers_no_length():
+    rng = np.random.default_rng(0)
+    lengths = np.unique(rng.integers(1, 4000, 1300))
+    counts = rng.integers(1, 3, len(lengths))
+    total, mean = int((lengths * counts).sum()), (lengths * counts).sum() / counts.sum()
+    for seed in range(5):
+        took = fit_counts(lengths, counts, total // 2, seed)
+        assert (took * lengths).sum() == total // 2 and (took <= counts).all()
+        assert abs((took * lengths).sum() / took.sum() - mean) < 0.02 * mean
+        for part in np.array_split(np.arange(len(lengths)), 10):
+            assert abs(took[part].sum() - counts[part].sum() / 2) < 0.12 * counts[part].sum()
+    odd = fit_counts(np.array([70_000, 90_000]), np.array([3, 3]), 230_000)  # far beyond any window
+    assert (odd * np.array([70_000, 90_000])).sum() == 230_000
+
+
 def test_mix(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["Big", "big ", " BIG"]), rng.choice([3, 5, 5, 90])) for i in range(2000)]
