@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": splitting.p5_found,
         "p5_pieces": splitting.p5_pieces,
         "p5_report": splitting.p5_report,
+        "p5_sizes": splitting.p5_sizes,
         "p6_assign": packing.p6_assign,
         "p6_fill": packing.p6_fill,
         "p7_mix": mixing.p7_mix,
+        "p7_held": mixing.p7_held,
         "p7_shares": mixing.p7_shares,
         "p8_found": toxicity.p8_found,
         "p8_scores": toxicity.p8_scores,

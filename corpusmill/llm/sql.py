@@ -20,5 +20,11 @@ n AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM usable WHERE list_in
 pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 12) AS s FROM n a JOIN n b ON a.collection = b.collection AND a.chunk_id <> b.chunk_id),
 top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM pairs WHERE s >= 0.9)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM top WHERE place <= 5""",
+        "p5_sizes": f"""WITH cut AS (SELECT DISTINCT id, collection, {words} AS n FROM chunks JOIN collections c ON c.name = collection WHERE c.chunker_size > 0 AND {words} > c.chunker_size)
+SELECT collection, count(*) AS texts, sum(n) AS words, max(n) AS longest FROM cut GROUP BY collection""",
+        "p7_held": f"""WITH keyed AS (SELECT nullif(regexp_replace(regexp_replace(lower(source), '[{_SPACE}_-]+', '-', 'g'), '^-|-$', '', 'g'), '') AS source, text FROM documents),
+held AS (SELECT source, count(*) AS n FROM keyed WHERE text <> '' GROUP BY source),
+wanted AS (SELECT nullif(regexp_replace(regexp_replace(lower(source), '[{_SPACE}_-]+', '-', 'g'), '^-|-$', '', 'g'), '') AS source, sum(target_weight) AS w, max(greatest(coalesce(max_repeats, 1), 0)) AS r FROM mix_targets WHERE target_weight > 0 GROUP BY 1)
+SELECT source, round(w / (SELECT sum(w) FROM wanted), 6) AS target_weight, r AS max_repeats, coalesce(n, 0) AS held_docs FROM wanted LEFT JOIN held USING (source) WHERE source IS NOT NULL""",
         "p5_found": f"SELECT DISTINCT id AS chunk_id FROM chunks JOIN collections c ON c.name = collection WHERE c.chunker_size > 0 AND {words} > c.chunker_size",
     }

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusmill.llm.splitting import _WORD, split_oversized, split_text
+from corpusmill.llm.tokens import VOCABULARY, encoding
 
 TEXT = st.text(alphabet=st.sampled_from("ab. \n#,;!?\t" + chr(0xA0) + chr(0x2028)), max_size=400)
 
@@ -31,6 +32,32 @@ def test_cuts_at_the_strongest_boundary():
     assert [p[0] for p in split_text("a b c d. e f g h", 5, 0)] == ["a b c d.", "e f g h"]
 
 
+TOKENS = lambda t: len(encoding(VOCABULARY).encode_ordinary(t))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab. \n#,;!?\tZq'" + chr(0xA0) + chr(0x2028) + chr(0xE9) + chr(0x4E2D)), max_size=200), st.integers(3, 12), st.integers(-1, 14))
+def test_pieces_fit_in_tokens(text, size, overlap):
+    parts = split_text(text, size, overlap, TOKENS)
+    if TOKENS(text) <= size:
+        assert [p[0] for p in parts] == [text]
+    elif len(parts) > 1:
+        least = max(0, size - max(0, min(overlap, size - 1)))
+        assert all(TOKENS(p[0]) <= max(size, 4 if least < 4 else 0) for p in parts)
+        letters = "".join(_WORD.findall(text))
+        assert "".join(_WORD.findall(parts[0][0])) == letters[: len("".join(_WORD.findall(parts[0][0])))]
+        assert parts[0][1] == 0 and all(p[1] + p[3] == q[2] for p, q in zip(parts[1:], parts, strict=False))
+    else:
+        assert TOKENS(parts[0][0]) <= size or len("".join(_WORD.findall(text))) <= 1
+
+
+def test_a_word_larger_than_a_piece_is_cut_inside():
+    word = "".join(chr(97 + i * 7 % 26) for i in range(500))
+    parts = split_text(f"Some words first. {word} and more behind", 20, 4, TOKENS)
+    assert all(TOKENS(p[0]) <= 20 for p in parts) and len(parts) > 5
+    assert [p[0] for p in split_text("one two three. four five six", 4, 0, TOKENS)] == ["one two three.", "four five six"]
+
+
 def test_tables(spark):
     schema = "id string, collection string, heading_path string, text string, size int, overlap int, _key string, piece_no int"
     rows = [
@@ -51,3 +78,7 @@ def test_tables(spark):
     assert len(by[None]) == 1 and len(by["e"]) == 1
     assert all(r.words <= 100 for r in by["f"]) and sum(r.words - r.shared_words for r in by["f"]) == 50_000
     assert split_oversized(df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([("t", "own " * 30, 10, 2, "some_base"), ("w", "own " * 9, 10, 2, "words"), ("n", "own " * 9, 10, 2, None), ("z", "x" * 90, 10, 2, "some_base")], "id string, text string, size int, overlap int, unit string")
+    got = split_oversized(mixed, carry=()).collect()
+    assert all(TOKENS(r.piece_text) <= 10 for r in got if r.id in "tz") and {r.id: r.pieces for r in got if r.id in "wn"} == {"w": 1, "n": 1}
+    assert sum(r.words - r.shared_words for r in got if r.id == "t") == 30
