@@ -117,8 +117,10 @@ def split_text(text: str, size: int, overlap: int, count: Callable[[str], int] |
         return [(text, 0, sum(1 for _ in _WORD.finditer(text)), 0)]
     spans, costs, fresh = _atoms(text, size - overlap, count)
     n = len(spans)
-    if n <= size and count is None or n < 2:
+    if n <= size and count is None:
         return [(text, 0, n, 0)]
+    if n < 2:  # the white space around it was too much
+        return [(text[slice(*spans[0])] if n else "", 0, n, 0)]
     strengths = [0] * n
     for i in range(1, n):
         (a, b), (c, d) = spans[i - 1], spans[i]
@@ -174,7 +176,8 @@ def split_oversized(chunks: DataFrame, key: str = "id", carry: tuple[str, ...] =
     columns. Size and overlap are in words where ``unit`` is ``words``, null, empty or missing,
     else in tokens of the vocabulary at ``path``, whatever tokenizer it names. A size that is null
     or not positive sets no limit; an overlap that is null or negative is 0, one not below the
-    size is size - 1. A text within its limit, empty or null is one piece, as stored. Pieces are
+    size is size - 1. A text within its limit, empty or null is one piece, as stored; white space at the ends of one
+    that is not within it, and a text of nothing else, is left out. Pieces are
     cut between words; only a word larger than a piece may be is cut inside (its parts then count
     as words). An empty table gives an empty result. Each text is split by itself, so neither hot
     collections nor repeated texts matter.
