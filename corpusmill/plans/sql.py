@@ -91,6 +91,12 @@ SELECT snapshot_no, collection, source_uri, 'added' AS change_kind FROM known WH
 UNION ALL SELECT next, collection, source_uri, 'removed' FROM known WHERE place_back = 1 AND next IS NOT NULL
 UNION ALL SELECT snapshot_no, collection, source_uri, 'changed' FROM known WHERE place > 1 AND hash <> before"""
 
+# The state a file was left in, with the digest known by then, and that of the run that follows.
+P3_OLD = P3.split("\nSELECT snapshot_no, collection, source_uri, 'added'")[0].replace("hash, loaded_at\n", "hash, loaded_at, ingested_at\n").replace("arg_max({'h': hash}, loaded_at).h AS hash", "arg_max({'h': hash, 'i': ingested_at}, loaded_at).h AS hash, arg_max({'h': hash, 'i': ingested_at}, loaded_at).i AS ingested_at") + """,
+filled AS (SELECT *, coalesce(hash, before) AS after, lag(ingested_at) OVER (PARTITION BY collection, source_uri, island ORDER BY snapshot_no) AS ingested_before FROM known)
+SELECT next AS snapshot_no, collection, source_uri, 'removed' AS change_kind, NULL AS hash, after AS old_hash, ingested_at AS old_ingested_at FROM filled WHERE place_back = 1 AND next IS NOT NULL
+UNION ALL SELECT snapshot_no, collection, source_uri, 'changed', hash, before, ingested_before FROM filled WHERE place > 1 AND hash <> before"""
+
 
 def oracle_sql() -> dict[str, str]:
     second = "second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM hits1)"
@@ -106,6 +112,7 @@ total AS (SELECT query_id, chunk_id, sum(1 / (60 + pos)) AS rrf FROM lists GROUP
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, chunk_id)::INT AS pos FROM total)"""
     return {
         "p3_found": P3,
+        "p3_old_values": P3_OLD,
         "cosine_topk": _with(VECTORS, ASKING, _near(8), select=near_out),
         "cosine_topk_filtered": _with(
             VECTORS, ASKING, DOCS,

@@ -164,15 +164,24 @@ def test_snapshots_nulls_returns_and_first_runs(spark):
     ]
     clean = spark.createDataFrame(rows, "snapshot_no int, collection string, source_uri string, hash string")
     runs = [(1, ["k"]), (2, ["j", "k"]), (3, ["k"]), (4, ["j", "k"]), (5, ["k"]), (6, ["k"])]
-    got = {(r.snapshot_no, r.collection, r.source_uri, r.change_kind) for r in snapshots.snapshot_changes(clean, runs, buckets=3).collect()}
+    clean = clean.withColumn("at", F.concat(F.lit("t"), "snapshot_no"))
+    with snapshots.Snapshots(clean, runs, buckets=8) as s:
+        changes = s.changes()
+        old = s.with_old_values(changes, ["at"])
+        plan = s.step(3, ["k"], s.spark.table(s._names[2]))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "PartitionFilters: [isnotnull(snapshot_no" in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("snapshot_")]
+    got = {(r.snapshot_no, r.collection, r.source_uri, r.change_kind) for r in changes.collect()}
+    assert {(r.snapshot_no, r.source_uri, r.old_at) for r in old.collect()} == {(2, "b", "t1"), (3, "a", "t2"), (3, "c", "t2"), (3, "n", "t2"), (4, "b", "t3"), (4, "n", "t3"), (4, "x", "t2")}
     assert got == {
         (2, "k", "b", "removed"), (2, "k", "c", "added"),
         (3, "k", "a", "changed"), (3, "k", "b", "added"), (3, "k", "c", "removed"), (3, "k", "n", "changed"),
         (4, "k", "b", "removed"), (4, "k", "n", "removed"), (4, "j", "x", "removed"), (4, "j", "y", "added"),
         (5, "k", "b", "added"),
     }
-    assert snapshots.snapshot_changes(clean, [], buckets=3).count() == 0
-    assert snapshots.snapshot_changes(clean.where("false"), runs, buckets=3).count() == 0
+    for rows, of in ((clean, []), (clean.where("false"), runs)):
+        with snapshots.Snapshots(rows, of, buckets=8) as s:
+            assert s.with_old_values(s.changes(), ["at"]).count() == s.changes().count() == 0
 
 
 def test_latest_with_ties_and_nulls(spark):
