@@ -1,13 +1,15 @@
 """Most similar vectors for every vector, by an inverted multi-index.
 
-Both halves of the vectors of a collection are quantised by their own centroids; a vector's
-cell is the pair of its nearest ones. A query visits the pairs of centroids in the order of
-their summed distance, taken from a heap over the two sorted lists, and the vectors in the
-visited cells are reranked by their exact cosine.
-
-The cells of a collection are cut into shards of about SHARD vectors, and a query is sent to the
-shards that hold cells it visits. Shards that very many queries visit are served by several
-tasks. A task holds one shard and streams queries past it.
+Both halves of the vectors of a collection are quantised by their own centroids, whose number
+grows with the square root of the collection, so that a cell holds about CELL vectors at every
+size; a vector's cell is the pair of its nearest ones. A query visits a fixed number of pairs of
+centroids in the order of their summed distance, taken from a heap over the two sorted lists, and
+the vectors in the visited cells are reranked by their exact cosine.
+
+Near centroids are grouped, and the cells of a group of the first half and one of the second are
+a block of about SHARD vectors. A query is sent to the blocks that hold cells it visits. Blocks
+that hold more are cut into parts, which share their queries; blocks that very many queries visit
+are served by several tasks. A task holds one part of a block and streams queries past it.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from corpusmill.tables import keep, read
 
+CELL = 6.4  # vectors in a cell, about
 SAMPLE = 8192  # vectors per collection that the centroids are fitted on, chosen by hash
+PER_CENTROID = 32  # but as many for each centroid at least
 SHARD = 32_768
 QUERIES = 65_536  # a task's queries, about
 ROUNDS = 10  # of Lloyd's algorithm
 PROBES = 24  # cells visited where only near neighbours are wanted
-LEAST_CELLS = 320  # visited at least where a part of all cells is; a cell holds about 6 vectors
+WIDE = 1280  # cells visited where all of the first ones are; about 8,000 vectors
 SALT_ROWS = 20_000
 SEEN = 500_000
 
@@ -36,17 +40,35 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims)
 
 
+_ROWS = "collection string, chunk_id string, key long, dims int, vec binary, least string, asks boolean"
+
+
+def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of usable vectors; ``vec`` is null where this task has sent the same vector already."""
-    seen: set[bytes] = set()
+    """A row per usable vector, and rows per class of equal vectors.
+
+    The first row of a class in this task has the vector; of further rows only the smallest id
+    and whether any asks are told once more, at the end (without a chunk_id).
+    """
+    seen: dict[bytes, list] = {}
+
+    def rest() -> pa.RecordBatch:
+        more = [(c, None, k, d, None, i, a) for c, k, d, i, a, again in seen.values() if again]
+        return _batch([list(x) for x in zip(*more, strict=True)] if more else [[]] * 7, _ROWS)
+
     for batch in batches:
-        ids, places, dims = batch.column("chunk_id").to_pylist(), batch.column("collection").to_pylist(), batch.column("dims").to_pylist()
+        ids, places, dims, asks = (batch.column(c).to_pylist() for c in ("chunk_id", "collection", "dims", "asks"))
         vectors = batch.column("vector")
         flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
         ends = vectors.offsets.to_numpy()
         valid = vectors.is_valid().to_numpy(zero_copy_only=False)
-        out: list[list] = [[], [], [], [], []]
-        for i, (key, place, d) in enumerate(zip(ids, places, dims, strict=True)):
+        out: list[list] = [[] for _ in range(7)]
+        for i, (key, place, d, ask) in enumerate(zip(ids, places, dims, asks, strict=True)):
             if not valid[i] or key is None or ends[i + 1] - ends[i] != d:
                 continue
             v = flat[ends[i] : ends[i + 1]]
@@ -54,29 +76,56 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             raw = v.tobytes()
             cls = xxhash.xxh3_128_digest(place.encode() + b"\0" + raw)
-            if len(seen) > SEEN:
-                seen.clear()
-            for col, x in zip(out, (place, key, int.from_bytes(cls[:8], "little", signed=True), d, None if cls in seen else raw), strict=True):
+            number = int.from_bytes(cls[:8], "little", signed=True)
+            known = seen.get(cls)
+            if known is None:
+                seen[cls] = [place, number, d, key, bool(ask), False]
+            else:
+                known[3:] = min(known[3], key), known[4] or bool(ask), True
+            for col, x in zip(out, (place, key, number, d, *((None, None, None) if known else (raw, key, bool(ask)))), strict=True):
                 col.append(x)
-            seen.add(cls)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["collection", "chunk_id", "key", "dims", "vec"])
+        yield _batch(out, _ROWS)
+        if len(seen) > SEEN:
+            yield rest()
+            seen = {}
+    yield rest()
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c**2).sum(axis=1)[None, :] - 2 * x @ c.T + (x**2).sum(axis=1)[:, None]
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, 16_000_000 // len(c))
+    return np.concatenate([_distances(x[at : at + step], c).argmin(axis=1) for at in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
+
+
 def _centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(ROUNDS):
-        near = _distances(x, c).argmin(axis=1)
-        n = np.bincount(near, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
-    # Similar centroids get near numbers, so that a query's cells lie in few shards.
-    axis = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)[2][0]
-    return c[np.argsort(c @ axis)]
+        near = _nearest(x, c)
+        order = np.argsort(near, kind="stable")
+        used, first = np.unique(near[order], return_index=True)
+        c[used] = np.add.reduceat(x[order], first, axis=0) / np.diff(np.r_[first, len(x)])[:, None]
+    return c
+
+
+def _grouped(c: np.ndarray, weight: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the centroids, and where its ``groups`` (a power of 2) begin: halved by weight along the widest axis, again and again."""
+    parts = [np.arange(len(c))]
+    while len(parts) < groups:
+        halves = []
+        for p in parts:
+            if len(p) > 1:
+                axis = np.linalg.svd(c[p] - c[p].mean(axis=0), full_matrices=False)[2][0]
+                p = p[np.argsort(c[p] @ axis, kind="stable")]
+                total = np.cumsum(weight[p])
+                at = int(np.clip(np.searchsorted(total, total[-1] / 2) + 1, 1, len(p) - 1))
+                halves += [p[:at], p[at:]]
+            else:
+                halves += [p, p[:0]]
+        parts = halves
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 def visit(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
@@ -94,7 +143,7 @@ def visit(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
     heap = d1[:, : min(n, k)] + d2[:, :1]
     taken = np.zeros(heap.shape, np.int64)
     rows = np.arange(len(first))
-    cells = np.empty((len(first), n), np.int32)
+    cells = np.empty((len(first), n), np.int64)
     for step in range(n):
         i = heap.argmin(axis=1)
         j = taken[rows, i]
@@ -105,72 +154,66 @@ def visit(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """The centroids of one collection and the shards and task slices of its cells."""
+    """The centroids of one collection, the blocks of its cells, and into how many parts and task slices each block goes."""
 
-    def __init__(self, c1: np.ndarray, c2: np.ndarray, shard: np.ndarray, parts: np.ndarray, slices: np.ndarray):
-        self.c1, self.c2, self.shard, self.parts, self.slices = c1, c2, shard, parts, slices
+    def __init__(self, c1: np.ndarray, c2: np.ndarray, ends1: np.ndarray, ends2: np.ndarray, parts: np.ndarray, slices: np.ndarray):
+        self.c1, self.c2, self.ends1, self.ends2, self.parts, self.slices = c1, c2, ends1, ends2, parts, slices
+        self.base = np.cumsum(parts) - parts  # the number of a block's first part
+        self.group1 = np.repeat(np.arange(len(ends1) - 1), np.diff(ends1))
+        self.group2 = np.repeat(np.arange(len(ends2) - 1), np.diff(ends2))
+        self.narrow = int(np.diff(ends1).max()) * int(np.diff(ends2).max()) <= 1 << 16
 
     @classmethod
-    def fit(cls, x: np.ndarray, n: int, probes: float) -> Index:
-        """On a sample ``x`` of ``n`` vectors. A cell of more than SHARD vectors is spread over several shards."""
-        k = int(np.clip(round((n / 6.4) ** 0.5), 2, 256))
+    def fit(cls, x: np.ndarray, n: int, probes: int) -> Index:
+        """On a sample ``x`` of ``n`` vectors."""
+        k = max(2, round((n / CELL) ** 0.5))
         half, rng = x.shape[1] // 2, np.random.default_rng(5)
-        c1, c2 = _centroids(x[:, :half], k, rng), _centroids(x[:, half:], k, rng)
-        cell = _distances(x[:, :half], c1).argmin(axis=1) * k + _distances(x[:, half:], c2).argmin(axis=1)
-        load = np.bincount(cell, minlength=k * k) * (n / len(x))
+        groups = 2 ** max(0, round(np.log2((n / SHARD) ** 0.5)))
+        halves = []
+        for part in (x[:, :half], x[:, half:]):
+            c = _centroids(part, k, rng)
+            order, ends = _grouped(c, np.bincount(_nearest(part, c), minlength=k) + 1e-9, min(groups, k))
+            halves.append((c[order], ends))
+        (c1, ends1), (c2, ends2) = halves
+        one = np.ones((len(ends1) - 1) * (len(ends2) - 1), np.int32)
+        own = cls(c1, c2, ends1, ends2, one, one)
+        load = np.bincount(own.blocks(own.cells(x)), minlength=len(one)) * (n / len(x))
         parts = np.maximum(1, np.ceil(load / SHARD)).astype(np.int32)
-        before = np.cumsum(load / parts) - load / parts
-        shard = (before // SHARD).astype(np.int32)
-        shard = np.unique(shard, return_inverse=True)[1].astype(np.int32)
-        # The further parts of a large cell are shards after all others.
-        own = cls(c1, c2, shard, parts, np.ones(1, np.int32))
-        reached = own.reached(own.visited(x, probes))
-        touched = np.bincount(np.concatenate([np.unique(r) for r in reached]), minlength=own.shards()) * (n / len(x)) if len(x) else np.zeros(own.shards())
-        own.slices = np.maximum(1, np.ceil(touched / QUERIES)).astype(np.int32)
-        return own
-
-    def shards(self) -> int:
-        return int(self.shard.max()) + 1 + int((self.parts - 1).sum())
-
-    def _further(self) -> np.ndarray:
-        """Per cell the number of the shard of its second part."""
-        return int(self.shard.max()) + 1 + np.cumsum(self.parts - 1) - (self.parts - 1)
+        touched = np.zeros(len(one))
+        for at in range(0, min(len(x), SAMPLE), 1024):
+            for reached in own.blocks(own.visited(x[at : min(at + 1024, SAMPLE)], probes)):
+                touched[np.unique(reached)] += n / min(len(x), SAMPLE)
+        return cls(c1, c2, ends1, ends2, parts, np.maximum(1, np.ceil(touched / QUERIES)).astype(np.int32))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         half = x.shape[1] // 2
-        return _distances(x[:, :half], self.c1).argmin(axis=1) * len(self.c2) + _distances(x[:, half:], self.c2).argmin(axis=1)
-
-    def visited(self, x: np.ndarray, probes: float) -> np.ndarray:
-        """``probes``: a number of cells, or below 1 a part of all cells, LEAST_CELLS at least."""
-        half, n = x.shape[1] // 2, len(self.c1) * len(self.c2)
-        return visit(_distances(x[:, :half], self.c1), _distances(x[:, half:], self.c2), max(1, int(probes if probes >= 1 else max(LEAST_CELLS, np.ceil(probes * n)))))
-
-    def places(self, cells: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        part = spread % self.parts[cells]
-        return np.where(part == 0, self.shard[cells], self._further()[cells] + part - 1)
-
-    def reached(self, visited: np.ndarray) -> list[np.ndarray]:
-        """Per query the shards of all parts of the cells it visits."""
-        further, large = self._further(), self.parts > 1
-        out = [np.unique(row) for row in self.shard[visited]]
-        if large.any():
-            for q, row in enumerate(visited):
-                more = [further[c] + np.arange(self.parts[c] - 1) for c in row[large[row]]]
-                out[q] = np.unique(np.concatenate([out[q], *more])) if more else out[q]
-        return out
+        return _nearest(x[:, :half], self.c1) * len(self.c2) + _nearest(x[:, half:], self.c2)
+
+    def visited(self, x: np.ndarray, probes: int) -> np.ndarray:
+        half = x.shape[1] // 2
+        return visit(_distances(x[:, :half], self.c1), _distances(x[:, half:], self.c2), probes)
+
+    def blocks(self, cells: np.ndarray) -> np.ndarray:
+        return self.group1[cells // len(self.c2)] * (len(self.ends2) - 1) + self.group2[cells % len(self.c2)]
+
+    def inside(self, cells: np.ndarray) -> np.ndarray:
+        """The number of each cell inside its block."""
+        i, j = cells // len(self.c2), cells % len(self.c2)
+        g = self.group2[j]
+        return (i - self.ends1[self.group1[i]]) * (self.ends2[g + 1] - self.ends2[g]) + j - self.ends2[g]
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.c1), self.c1.shape[1], self.c2.shape[1], len(self.slices)], np.int32)
-        return b"".join(a.tobytes() for a in (head, self.c1.astype(np.float32), self.c2.astype(np.float32), self.shard.astype(np.int32), self.parts.astype(np.int32), self.slices.astype(np.int32)))
+        head = np.array([len(self.c1), self.c1.shape[1], self.c2.shape[1], len(self.ends1), len(self.ends2)], np.int32)
+        return b"".join(a.tobytes() for a in (head, self.c1.astype(np.float32), self.c2.astype(np.float32), *(x.astype(np.int32) for x in (self.ends1, self.ends2, self.parts, self.slices))))
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> Index:
-        k, a, b, s = np.frombuffer(raw, np.int32, 4)
-        at, out = 16, []
-        for shape, kind in (((k, a), np.float32), ((k, b), np.float32), ((k * k,), np.int32), ((k * k,), np.int32), ((s,), np.int32)):
-            n = int(np.prod(shape))
-            out.append(np.frombuffer(raw, kind, n, at).reshape(shape))
-            at += 4 * n
+        k, a, b, m, n = (int(x) for x in np.frombuffer(raw, np.int32, 5))
+        at, out, blocks = 20, [], (m - 1) * (n - 1)
+        for shape, kind in (((k, a), np.float32), ((k, b), np.float32), ((m,), np.int32), ((n,), np.int32), ((blocks,), np.int32), ((blocks,), np.int32)):
+            size = int(np.prod(shape))
+            out.append(np.frombuffer(raw, kind, size, at).reshape(shape))
+            at += 4 * size
         return cls(*out)
 
 
@@ -179,7 +222,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _fit(probes: float):  # noqa: ANN202
+def _fit(probes: int):  # noqa: ANN202
     def fit(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
         x = _unit(_matrix(table.column("vec"), dims))
@@ -189,74 +232,75 @@ def _fit(probes: float):  # noqa: ANN202
     return fit
 
 
-_UNITS = "collection string, shard int, slice int, role int, key long, cell int, dims int, vec binary, visits binary"
+_UNITS = "collection string, shard int, slice int, role int, key long, cell int, dims int, vec binary, visits binary, least string"
 
 
-def _assign(probes: float):  # noqa: ANN202
+def _assign(probes: int):  # noqa: ANN202
     def assign(rows: pa.Table, index: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in _UNITS.split(", ")]
-        out: list[list] = [[] for _ in names]
+        out: list[list] = [[] for _ in _UNITS.split(", ")]
         if rows.num_rows and index.num_rows:
             place, dims = rows.column("collection")[0].as_py(), rows.column("dims")[0].as_py()
-            keys, raws, asks = rows.column("key").to_numpy(), rows.column("vec").to_pylist(), rows.column("asks").to_pylist()
             idx = Index.from_bytes(index.column("index")[0].as_py())
-            done: set[int] = set()
-            for at in range(0, len(raws), 2048):
-                x = _unit(np.frombuffer(b"".join(raws[at : at + 2048]), np.float32).reshape(-1, dims))
-                cells, spread = idx.cells(x), keys[at : at + 2048].view(np.uint64) >> np.uint64(8)
-                shards = idx.places(cells, (spread % np.uint64(1 << 30)).astype(np.int64))
-                asking = np.flatnonzero(asks[at : at + 2048])
-                visited = dict(zip(asking.tolist(), idx.visited(x[asking], probes), strict=True)) if len(asking) else {}
-                reached = dict(zip(asking.tolist(), idx.reached(np.array([visited[q] for q in asking.tolist()])), strict=True)) if len(asking) else {}
-                for i in range(len(x)):
-                    key = int(keys[at + i])
-                    if key in done:
-                        continue
-                    done.add(key)
-                    own, raw = int(shards[i]), raws[at + i]
-                    goes = {int(s): int(spread[i] % np.uint64(idx.slices[s])) for s in reached.get(i, ())}
-                    walk = visited.get(i)
-                    sent = [(own, part, 1 if goes.get(own) == part else 0) for part in range(int(idx.slices[own]))]
-                    sent += [(s, part, 2) for s, part in goes.items() if s != own]
-                    for s, part, role in sent:
-                        # Of its walk a query takes along the cells that this shard may hold.
-                        visits = walk[(idx.shard[walk] == s) | (idx.parts[walk] > 1)].astype(np.uint16).tobytes() if role else None
-                        for col, v in zip(out, (place, s, part, role, key, int(cells[i]), dims, raw, visits), strict=True):
+            classes: dict[int, list] = {}
+            for key, raw, least, ask in zip(*(rows.column(c).to_pylist() for c in ("key", "vec", "least", "asks")), strict=True):
+                known = classes.setdefault(key, [raw, least, ask])
+                known[:] = known[0] or raw, min(known[1], least), known[2] or ask
+            every = list(classes.items())
+            for at in range(0, len(every), 2048):
+                some = every[at : at + 2048]
+                x = _unit(np.frombuffer(b"".join(c[0] for _, c in some), np.float32).reshape(-1, dims))
+                cells = idx.cells(x)
+                blocks, inside = idx.blocks(cells), idx.inside(cells)
+                spread = np.array([k for k, _ in some], np.int64).view(np.uint64) >> np.uint64(8)
+                asking = np.array([i for i, (_, c) in enumerate(some) if c[2]], np.int64)
+                walks = {}
+                if len(asking):
+                    visited = idx.visited(x[asking], probes)
+                    to, cell = idx.blocks(visited), idx.inside(visited).astype(np.uint16 if idx.narrow else np.uint32)
+                    for q, i in enumerate(asking.tolist()):
+                        walks[i] = {int(b): bytes([cell.itemsize]) + cell[q][to[q] == b].tobytes() for b in np.unique(to[q])}
+                for i, (key, (raw, least, _)) in enumerate(some):
+                    mine, walk, number = int(blocks[i]), walks.get(i, {}), int(spread[i])
+                    home = int(idx.base[mine]) + number % int(idx.parts[mine])
+                    turn = number % int(idx.slices[mine])
+                    # The vector as an entry, in every slice; in one of them it asks too, if its walk comes by.
+                    sent = [(home, s, 1 if s == turn and mine in walk else 0, walk.get(mine) if s == turn else None, least) for s in range(int(idx.slices[mine]))]
+                    for b, visits in walk.items():
+                        shards = range(int(idx.base[b]), int(idx.base[b] + idx.parts[b]))
+                        sent += [(s, number % int(idx.slices[b]), 2, visits, None) for s in shards if s != home]
+                    for shard, part, role, visits, own in sent:
+                        for col, v in zip(out, (place, shard, part, role, key, int(inside[i]), dims, raw, visits, own), strict=True):
                             col.append(v)
-        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+        return pa.Table.from_batches([_batch(out, _UNITS)])
 
     return assign
 
 
 def _search(k: int, least: float):  # noqa: ANN202
     def of_shard(entries: dict[str, np.ndarray], queries: dict[str, np.ndarray]) -> tuple[list, list, list]:
-        """Reranked neighbours (query key, key, cosine) inside one shard."""
-        order, limit = entries["order"], entries["ends"]
-        e, wide, keys = entries["unit"], entries["wide"], entries["keys"]
+        """Reranked neighbours (query key, key, cosine) inside one part of a block, ``k`` at most; equal ones by smaller id."""
+        limit, e, wide, keys, ids = (entries[c] for c in ("ends", "unit", "wide", "keys", "ids"))
+        spare = max(1e-5, 1e-7 * e.shape[1])  # the last bits of single precision must not decide who is among the first k
         a, b, sims = [], [], []
         for at in range(0, len(queries["keys"]), 512):
             q = queries["wide"][at : at + 512]
             length = np.linalg.norm(q, axis=1)
             near = (q / length[:, None]).astype(np.float32)
             for i, visits in enumerate(queries["visits"][at : at + 512]):
-                cells = np.frombuffer(visits, np.uint16).astype(np.int64)
+                cells = np.frombuffer(visits, np.uint16 if visits[0] == 2 else np.uint32, offset=1).astype(np.int64)
+                cells = cells[cells < len(limit) - 1]
                 begin, size = limit[cells], limit[cells + 1] - limit[cells]
                 some = size > 0
                 begin, size = begin[some], size[some]
                 total = int(size.sum())
                 if not total:
                     continue
-                shift = np.cumsum(size) - size
-                flat = np.arange(total) + np.repeat(begin - shift, size)
-                found = order[flat] if order is not None else flat
+                found = np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)
                 close = e[found] @ near[i]
-                most = k + 4  # the last bits of single precision must not decide who is among the first k
-                pick = np.argpartition(-close, most)[: most + 1] if total > most + 1 else np.arange(total)
-                pick = pick[close[pick] >= least - 1e-4]
-                if not len(pick):
-                    continue
-                chosen = found[pick]
+                bound = least - spare
+                if total > k + 1:  # with the query itself, k + 1
+                    bound = max(bound, float(np.partition(close, total - k - 1)[total - k - 1]) - 2 * spare)
+                chosen = found[close >= bound]
                 own = queries["keys"][at + i]
                 chosen = chosen[keys[chosen] != own]
                 if not len(chosen):
@@ -264,9 +308,10 @@ def _search(k: int, least: float):  # noqa: ANN202
                 w = wide[chosen].astype(np.float64)
                 exact = np.round((w * q[i]).sum(axis=1) / (np.sqrt((w * w).sum(axis=1)) * length[i]), 12)
                 good = np.argsort(-exact, kind="stable")
+                if len(good) > k and exact[good[k]] == exact[good[k - 1]]:
+                    good = np.lexsort((ids[chosen].astype("U"), -exact))  # code points, as bytes are ordered
+                good = good[:k]
                 good = good[exact[good] >= least]
-                if len(good) > k:
-                    good = good[exact[good] >= exact[good[k - 1]]]
                 a.append(np.full(len(good), own))
                 b.append(keys[chosen[good]])
                 sims.append(exact[good])
@@ -279,11 +324,10 @@ def _search(k: int, least: float):  # noqa: ANN202
         entries: dict | None = None
 
         def ready() -> dict:
-            wide = np.concatenate([p["wide"] for p in parts])
-            cells = np.concatenate([p["cells"] for p in parts])
+            wide, cells, keys, ids = (np.concatenate([p[c] for p in parts]) for c in ("wide", "cells", "keys", "ids"))
             order = np.argsort(cells, kind="stable")
-            ends = np.searchsorted(cells[order], np.arange(65_537))
-            return {"wide": wide[order], "unit": _unit(wide[order]), "keys": np.concatenate([p["keys"] for p in parts])[order], "order": None, "ends": ends}
+            ends = np.searchsorted(cells[order], np.arange(int(cells.max()) + 2))
+            return {"wide": wide[order], "unit": _unit(wide[order]), "keys": keys[order], "ids": ids[order], "ends": ends}
 
         def answer(name: str, found: tuple[list, list, list]) -> Iterator[pa.RecordBatch]:
             if found[0]:
@@ -308,7 +352,7 @@ def _search(k: int, least: float):  # noqa: ANN202
             for begin, end in zip(starts, [*starts[1:], len(marks)], strict=True):
                 *where, foreign = marks[begin]
                 piece = batch.slice(begin, end - begin)
-                part = {"wide": _matrix(piece.column("vec"), piece.column("dims")[0].as_py()), "keys": piece.column("key").to_numpy(), "cells": piece.column("cell").to_numpy(), "roles": piece.column("role").to_numpy(), "visits": piece.column("visits").to_pylist()}
+                part = {"wide": _matrix(piece.column("vec"), piece.column("dims")[0].as_py()), "keys": piece.column("key").to_numpy(), "cells": piece.column("cell").to_numpy(), "roles": piece.column("role").to_numpy(), "visits": piece.column("visits").to_pylist(), "ids": np.array(piece.column("least").to_pylist(), object)}
                 if tuple(where) != place:
                     yield from close()
                     place, parts, entries = tuple(where), [], None
@@ -323,32 +367,29 @@ def _search(k: int, least: float):  # noqa: ANN202
     return search
 
 
-def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 5, least: float = -2.0, probes: float = PROBES, asks: Column | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 5, least: float = -2.0, probes: int = PROBES, asks: Column | None = None) -> DataFrame:
     """(collection, chunk_id, neighbour, similarity, place): the ``k`` most similar of each asking vector.
 
     ``vectors``: (chunk_id, collection, vector); ``spaces``: (collection, dims), one row each.
     Null, zero and non-finite vectors, vectors of another length than the collection's, null
     ids and collections that ``spaces`` lacks take no part. Rows that repeat an id and its
     vector count once. Equal vectors are one class: indexed once, and every member finds the
-    others. Equal similarities go by smaller id. ``least`` leaves out smaller similarities;
-    ``probes`` is the number of cells visited, or below 1 the part of all cells; ``asks``
-    restricts the queries (over chunk_id), never what is searched.
+    others. Equal similarities (to twelve digits) go by smaller id. ``least`` leaves out smaller
+    similarities; ``probes`` is the number of cells visited, of about CELL vectors whatever the
+    size; ``asks`` restricts the queries (over chunk_id), never what is searched.
     """
-    known = vectors.select("chunk_id", "collection", "vector").join(spaces.select("collection", "dims"), "collection").select("chunk_id", "collection", F.col("vector").cast("array<float>").alias("vector"), F.col("dims").cast("int").alias("dims"))
-    usable = keep(known.mapInArrow(_usable, "collection string, chunk_id string, key long, dims int, vec binary"), "vectors")
-    ids = usable.select("collection", "key", "chunk_id").distinct()
-    if asks is None:
-        once = usable.where("vec is not null").withColumn("asks", F.lit(True))
-    else:
-        asking = ids.where(asks).select("collection", "key").distinct().withColumn("asks", F.lit(True))
-        once = usable.where("vec is not null").join(asking, ["collection", "key"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    known = vectors.select("chunk_id", "collection", "vector").join(spaces.select("collection", "dims"), "collection")
+    known = known.select("chunk_id", "collection", F.col("vector").cast("array<float>").alias("vector"), F.col("dims").cast("int").alias("dims"), (F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))).alias("asks"))
+    usable = keep(known.mapInArrow(_usable, _ROWS), "vectors")
+    ids = usable.where("chunk_id is not null").select("collection", "key", "chunk_id").distinct()
     sizes = usable.where("vec is not null").groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
-    sampled = usable.where("vec is not null").join(sizes, "collection").where(F.pmod(F.xxhash64("key"), F.col("n")) < SAMPLE)
+    wanted = F.greatest(F.lit(SAMPLE), (PER_CENTROID * F.sqrt(F.col("n") / CELL)).cast("long"))
+    sampled = usable.where("vec is not null").join(sizes, "collection").where(F.pmod(F.xxhash64("key"), F.col("n")) < wanted)
     index = keep(sampled.select("collection", "dims", "vec", "n").groupBy("collection").applyInArrow(_fit(probes), "collection string, index binary"), "multi-index")
     salts = sizes.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).select("collection", "salts")
-    salted = once.join(salts, "collection").withColumn("salt", F.pmod("key", F.col("salts")).cast("int")).select("collection", "salt", "key", "dims", "vec", "asks")
+    classes = usable.where("least is not null").join(salts, "collection").withColumn("salt", F.pmod("key", F.col("salts")).cast("int")).select("collection", "salt", "key", "dims", "vec", "least", "asks")
     spread = index.join(salts, "collection").select("collection", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "index")
-    units = salted.groupBy("collection", "salt").cogroup(spread.groupBy("collection", "salt")).applyInArrow(_assign(probes), _UNITS)
+    units = classes.groupBy("collection", "salt").cogroup(spread.groupBy("collection", "salt")).applyInArrow(_assign(probes), _UNITS)
     where = ["collection", "shard", "slice"]
     found = units.repartition(*where).sortWithinPartitions(*where, "role").mapInArrow(_search(k, least), "collection string, a long, b long, similarity double")
     found = keep(found, "neighbours")
@@ -375,7 +416,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 most similar of every vector whose hashed id is divisible by 20, against all vectors."""
-    asks = F.pmod(F.xxhash64("chunk_id"), F.lit(20)) == 0
-    found = nearest(read(spark, sf_dir, "vectors"), spaces(spark, sf_dir), probes=0.15, asks=asks)
+    """The 5 most similar of every vector whose chunk number is divisible by 20, against all vectors."""
+    asks = F.substring_index("chunk_id", ":", -1).try_cast("long") % 20 == 0
+    found = nearest(read(spark, sf_dir, "vectors"), spaces(spark, sf_dir), probes=WIDE, asks=asks)
     return found.select("collection", "chunk_id", "place", "neighbour", F.round("similarity", 6).alias("similarity"))

@@ -9,15 +9,21 @@ docs AS (SELECT id, any_value({name_of("source_uri")}) AS file FROM (SELECT id,
 named AS (SELECT query_id, chunk_id, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, coalesce({name_of("l.source")}, file, 'document:' || split_part(chunk_id, ':', 1)) AS name FROM last l LEFT JOIN docs ON docs.id = split_part(chunk_id, ':', 1)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC NULLS LAST, chunk_id) AS place FROM named)"""
 
+P4_PAIRS = """WITH usable AS (SELECT DISTINCT v.chunk_id, v.collection, v.vector::DOUBLE[] AS v FROM vectors v JOIN collections c ON c.name = v.collection WHERE len(vector) = c.dimensions AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM usable WHERE list_inner_product(v, v) > 0),
+pairs AS (SELECT a.collection, a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 12) AS s FROM n a JOIN n b ON a.collection = b.collection AND a.chunk_id <> b.chunk_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     words = f"len(list_filter(string_split_regex(text, '[{_SPACE}]+'), lambda x: x <> ''))"
     return {
         "p1_found": P1_RANKED + " SELECT query_id, chunk_id FROM ranked WHERE place > 3",
         "p1_dominance": P1_RANKED + " SELECT name AS source_file, count(*) AS hits, count(*) FILTER (place > 3) AS dropped FROM ranked GROUP BY name",
-        "p4_found": """WITH usable AS (SELECT DISTINCT v.chunk_id, v.collection, v.vector::DOUBLE[] AS v FROM vectors v JOIN collections c ON c.name = v.collection WHERE len(vector) = c.dimensions AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-n AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM usable WHERE list_inner_product(v, v) > 0),
-pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 12) AS s FROM n a JOIN n b ON a.collection = b.collection AND a.chunk_id <> b.chunk_id),
+        # At sf0.01 every cell is visited, so that the answer is exact there.
+        "p4_neighbours": P4_PAIRS.replace("AND a.chunk_id <> b.chunk_id", "AND a.chunk_id <> b.chunk_id AND split_part(a.chunk_id, ':', 2)::INT % 20 = 0") + """,
+top AS (SELECT *, row_number() OVER (PARTITION BY collection, a ORDER BY s DESC, b)::INT AS place FROM pairs)
+SELECT collection, a AS chunk_id, place, b AS neighbour, round(s, 6) AS similarity FROM top WHERE place <= 5""",
+        "p4_found": P4_PAIRS + """,
 top AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM pairs WHERE s >= 0.9)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM top WHERE place <= 5""",
         "p5_sizes": f"""WITH cut AS (SELECT DISTINCT id, collection, {words} AS n FROM chunks JOIN collections c ON c.name = collection WHERE c.chunker_size > 0 AND {words} > c.chunker_size)

@@ -43,7 +43,7 @@ def test_all_cells_give_the_exact_answer(spark):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
     spaces = spark.createDataFrame([("a", 8), ("b", 8), ("d", 8)], "collection string, dims int")
     got = {}
-    for r in nearest(df, spaces, probes=0.99).orderBy("place").collect():
+    for r in nearest(df, spaces, probes=100_000).orderBy("place").collect():
         got.setdefault((r.collection, r.chunk_id), []).append(r.neighbour)
     assert got == {k: v for k, v in brute(rows, {"a": 8, "b": 8, "d": 8}, 5).items() if v}
 
@@ -59,20 +59,61 @@ def test_few_cells_reach_the_promised_recall_of_near_ones(spark):
     assert len(got & want) >= 0.95 * len(want) and not got - want
 
 
-def test_shards_parts_and_slices_change_nothing(spark, monkeypatch):
+def crowded():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[:250] = x[0] + rng.normal(size=(250, 8)).astype(np.float32) * 0.01  # one crowded cell
+    return x
+
+
+def test_blocks_parts_and_slices(monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD", 20)
     monkeypatch.setattr(neighbours, "QUERIES", 30)
-    index = Index.fit(neighbours._unit(x), 400, 1000)
-    assert index.shards() > 5 and index.parts.max() > 1 and index.slices.max() > 1
+    x = neighbours._unit(crowded())
+    index = Index.fit(x, 400, 1000)
+    assert len(index.parts) > 4 and index.parts.max() > 1 and index.slices.max() > 1
     again = Index.from_bytes(index.to_bytes())
-    assert (again.shard == index.shard).all() and (again.slices == index.slices).all()
-    cells = index.cells(neighbours._unit(x))
-    places = index.places(cells, np.arange(400))
-    for q, reached in enumerate(index.reached(index.visited(neighbours._unit(x[:20]), 10_000))):
-        assert set(places) <= set(reached), q
+    assert (again.parts == index.parts).all() and (again.slices == index.slices).all() and (again.ends2 == index.ends2).all()
+    every = np.arange(len(index.c1) * len(index.c2))
+    pairs = set(zip(index.blocks(every).tolist(), index.inside(every).tolist(), strict=True))
+    assert len(pairs) == len(every)  # a cell is known by its block and its number there
+    assert set(index.blocks(index.cells(x))) <= set(index.blocks(index.visited(x[:1], 10_000)[0]))
+
+
+def test_centroids_grow_with_the_collection_and_cells_do_not():
+    x = neighbours._unit(np.random.default_rng(1).normal(size=(3000, 8)))
+    for n in (3000, 300_000, 3_000_000):
+        index = Index.fit(x, n, 24)
+        assert n / len(index.c1) / len(index.c2) < 1.3 * neighbours.CELL
+        assert index.visited(x[:5], 24).shape == (5, 24)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_parts_and_slices_change_nothing(spark, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(neighbours, "SHARD", 20)
+        monkeypatch.setattr(neighbours, "QUERIES", 30)
+        monkeypatch.setattr(neighbours, "SALT_ROWS", 100)
+    rows = [(f"v{i:04d}", "a", v.tolist()) for i, v in enumerate(crowded())]
+    df = spark.createDataFrame(rows, "chunk_id string, collection string, vector array<float>")
+    spaces = spark.createDataFrame([("a", 8)], "collection string, dims int")
+    got = {}
+    for r in nearest(df, spaces, probes=100_000).orderBy("place").collect():
+        got.setdefault((r.collection, r.chunk_id), []).append(r.neighbour)
+    assert got == brute(rows, {"a": 8}, 5)
+
+
+def test_many_equal_similarities_go_by_smaller_id(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=8).astype(np.float32)
+    rows = [(f"{i:03d}", "a", (base * np.float32(2.0 ** (i % 40 - 20)) * (3 if i >= 40 else 1)).tolist()) for i in range(60)]
+    rows += [(f"r{i:03d}", "a", rng.normal(size=8).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "chunk_id string, collection string, vector array<float>")
+    spaces = spark.createDataFrame([("a", 8)], "collection string, dims int")
+    got = {}
+    for r in nearest(df, spaces, probes=100_000).orderBy("place").collect():
+        got.setdefault(r.chunk_id, []).append(r.neighbour)
+    assert got["030"] == ["000", "001", "002", "003", "004"] and got["002"] == ["000", "001", "003", "004", "005"]
 
 
 def test_visit_goes_by_summed_distance():
