@@ -10,6 +10,7 @@ MODIFIED_KEYS = ("updated", "updated_at", "modified", "last_modified", "lastmod"
 CREATED_KEYS = ("created", "created_at", "date", "published", "publishdate", "publish_date")
 MTIME_KEY = "mtime"
 
+# Forms of dates in metadata and in names.
 _FULL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 _LOCAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"
 _DAY = r"^\d{4}-\d{2}-\d{2}$"
@@ -17,20 +18,25 @@ _PATH_DAY = r"(\d{4})[-_/](\d{2})[-_/](\d{2})"
 _PATH_WEEK = r"(\d{4})-[Ww](\d{2})"
 
 
+def _midnight(day: Column) -> Column:
+    """The begin of a day in UTC, whatever the session's time zone."""
+    return F.try_to_timestamp(F.concat(day.cast("string"), F.lit("T00:00:00+00:00")))
+
+
 def parse_time(text: Column) -> Column:
     """RFC 3339, ``YYYY-MM-DDTHH:MM:SS`` or ``YYYY-MM-DD`` (both UTC) as a timestamp; anything else, and no such day, is null."""
     text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     full = F.when(text.rlike(_FULL), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"(\.\d{6})\d+", "$1"), "Z$", "+00:00")))
-    return F.coalesce(full, F.when(text.rlike(_LOCAL) | text.rlike(_DAY), F.try_to_timestamp(text)))
+    return F.coalesce(full, F.when(text.rlike(_LOCAL), F.try_to_timestamp(F.concat(text, F.lit("+00:00")))), F.when(text.rlike(_DAY), _midnight(text)))
 
 
 def path_time(uri: Column) -> Column:
     """The date in a name: the last ``YYYY-MM-DD`` (also with ``_`` or ``/``), else Monday of the last ``YYYY-Www``."""
     day = F.try_element_at(F.regexp_extract_all(uri, F.lit(_PATH_DAY), F.lit(0)), F.lit(-1))
-    day = F.try_to_timestamp(F.regexp_replace(day, "[_/]", "-"))
+    day = _midnight(F.regexp_replace(day, "[_/]", "-"))
     week = F.try_element_at(F.regexp_extract_all(uri, F.lit(_PATH_WEEK), F.lit(0)), F.lit(-1))
     year, number = F.substring(week, 1, 4).cast("int"), F.substring(week, 7, 2).cast("int")
-    monday = F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4)).cast("timestamp")) + F.make_dt_interval((number - 1) * 7)
+    monday = _midnight(F.date_add(F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week"), (number - 1) * 7))
     return F.coalesce(day, F.when(number.between(1, 53) & (year >= 1), monday))
 
 

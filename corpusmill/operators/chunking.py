@@ -7,6 +7,7 @@ tables. Sizes are in whatever the token counter counts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import takewhile
@@ -79,12 +80,18 @@ def sentences(text: str) -> list[str]:
 
 
 def windows(text: str, s: Sizes) -> list[str]:
-    """Runs of words as long as fit, each sharing up to ``overlap`` words with the one before."""
+    """Runs of words as long as fit, each sharing up to ``overlap`` words with the one before.
+
+    A run's end is found by doubling and halving, so that a word is counted a few times only.
+    """
     words, out, start = text.split(), [], 0
+    over = lambda end: s.count(" ".join(words[start:end])) > s.size
     while start < len(words):
-        end = start + 1
-        while end < len(words) and s.count(" ".join(words[start : end + 1])) <= s.size:
-            end += 1
+        reach = 1
+        while start + 2 * reach <= len(words) and not over(start + 2 * reach):
+            reach *= 2
+        ends = range(start + reach + 1, min(start + 2 * reach, len(words)) + 1)
+        end = start + reach + bisect_left(ends, True, key=over)
         out.append(" ".join(words[start:end]))
         if end == len(words):
             break

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from corpusmill.errors import NotFound, UsageError
+
 
 def document_id(collection: Column, source_uri: Column) -> Column:
     return F.sha2(F.concat(collection, F.lit("\0"), source_uri), 256)
@@ -17,12 +23,33 @@ def chunk_id(doc: Column, seq: Column) -> Column:
 def corpus_digest(documents: DataFrame) -> DataFrame:
     """Per collection the digest over (uri, hash) in uri order, and the last ingest time.
 
-    The digest is one hash over the whole list, so a collection's list of names and hashes (no
-    texts) is brought together; that is what the value is defined by.
+    The value is defined as one hash over the whole list in order. A collection's names and
+    hashes (no texts) are sorted by Spark, which spills, and stream through a running hash: a
+    task holds one batch, however large the collection. Rows without a name or hash count for
+    the ingest time only.
     """
-    pair = F.array_sort(F.collect_list(F.struct("source_uri", "hash")))
-    text = F.array_join(F.transform(pair, lambda p: F.concat(p["source_uri"], F.lit("\0"), p["hash"], F.lit("\0"))), "")
-    return documents.groupBy("collection").agg(F.sha2(text, 256).alias("digest"), F.max("ingested_at").alias("last_ingest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state, last, begun = None, hashlib.sha256(), None, False
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state.hexdigest()]), pa.array([last], pa.timestamp("us", "UTC"))], names=["collection", "digest", "last_ingest"])
+
+        for batch in batches:
+            for c, uri, digest, at in zip(*(batch.column(x).to_pylist() for x in ("collection", "source_uri", "hash", "ingested_at")), strict=True):
+                if begun and c != name:
+                    yield told()
+                    state, last = hashlib.sha256(), None
+                name, begun = c, True
+                if uri is not None and digest is not None:
+                    state.update(f"{uri}\0{digest}\0".encode())
+                last = at if last is None or at is not None and at > last else last
+        if begun:
+            yield told()
+
+    rows = documents.select("collection", "source_uri", "hash", F.col("ingested_at").cast("timestamp").alias("ingested_at"))
+    ordered = rows.repartition("collection").sortWithinPartitions("collection", "source_uri", "hash")
+    return ordered.mapInArrow(run, "collection string, digest string, last_ingest timestamp").withColumn("last_ingest", F.col("last_ingest").cast(documents.schema["ingested_at"].dataType))
 
 
 NAME = ("source_uri",)
@@ -72,3 +99,13 @@ def selected(documents: DataFrame, wanted: str, regex: str | None) -> DataFrame:
     rated = documents.withColumn("_tier", tier).where("_tier is not null")
     best = rated.agg(F.min("_tier").alias("_best"))
     return rated.join(F.broadcast(best), F.col("_tier") == F.col("_best")).drop("_tier", "_best")  # one row
+
+
+def select_one(documents: DataFrame, wanted: str, regex: str | None) -> Row:
+    """The one document that a selector means; none raises NotFound, several a UsageError that names some of them."""
+    found = selected(documents, wanted, regex).orderBy("source_uri").limit(6).collect()
+    if not found:
+        raise NotFound(f"no document matches {wanted!r}")
+    if len(found) > 1:
+        raise UsageError(f"{wanted!r} means several documents: " + ", ".join(r.source_uri for r in found[:5]) + (" and more" if len(found) > 5 else ""))
+    return found[0]

@@ -31,13 +31,13 @@ def token_budget(hits: DataFrame, tokens: Column, budget: int) -> DataFrame:
     return hits.withColumn("used_tokens", run).where((F.col("used_tokens") <= budget) | (F.col("pos") == 1))
 
 
-def by_recency(hits: DataFrame, time: Column, now: str, half_life_days: float, k: int = 0) -> DataFrame:
+def by_recency(hits: DataFrame, time: Column, now: str = "", half_life_days: float = 90.0, k: int = 0) -> DataFrame:
     """Hits by score * 2^(-age / half life), equal ones in their order; the score itself stays.
 
     Undated and future hits keep their weight. A half life of 0 or less changes no order. ``k``
-    of 0 or less keeps all.
+    of 0 or less keeps all. Without ``now`` it is the time at which the query runs.
     """
-    age = (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(time.cast("timestamp"))) / (86_400 * 1e6)
+    age = (F.unix_micros(F.to_timestamp(F.lit(now)) if now else F.current_timestamp()) - F.unix_micros(time.cast("timestamp"))) / (86_400 * 1e6)
     factor = F.when(age.isNotNull() & (age > 0), F.pow(F.lit(2.0), -age / half_life_days)).otherwise(1.0) if half_life_days > 0 else F.lit(1.0)
     order = [F.desc("_adjusted"), F.asc("_pos")] if half_life_days > 0 else [F.asc("_pos")]
     aged = hits.withColumn("_adjusted", F.col("score") * factor).withColumnRenamed("pos", "_pos")
@@ -50,16 +50,18 @@ def _diverse(weight: float, k: int):  # noqa: ANN202
         score = np.nan_to_num(table.column("score").to_numpy(zero_copy_only=False).astype(float), nan=0.0)
         vectors = [np.asarray(v, float) if v is not None else np.zeros(0) for v in table.column("vector").to_pylist()]
         n = len(vectors)
-        like = np.zeros((n, n))
-        norms = [float(np.sqrt(v @ v)) for v in vectors]
-        for i in range(n):
-            for j in range(i):
-                if len(vectors[i]) == len(vectors[j]) and norms[i] > 0 and norms[j] > 0:
-                    like[i, j] = like[j, i] = vectors[i] @ vectors[j] / (norms[i] * norms[j])
+        like, lengths = np.zeros((n, n)), np.array([len(v) for v in vectors])
+        for d in np.unique(lengths):
+            same = np.flatnonzero(lengths == d)
+            m = np.array([vectors[i] for i in same]).reshape(len(same), d)
+            norm = np.sqrt((m * m).sum(axis=1))
+            size = norm[:, None] * norm[None, :]
+            like[np.ix_(same, same)] = np.divide(m @ m.T, size, out=np.zeros_like(size), where=size > 0)
+        np.fill_diagonal(like, 0.0)
         nearest, left, chosen = np.zeros(n), np.ones(n, bool), []
         while left.any() and (k <= 0 or len(chosen) < k):
-            value = np.where(left, weight * score - (1 - weight) * nearest, -np.inf)
-            i = int(value.argmax())  # of equal ones the smaller id
+            value = np.where(left, np.round(weight * score - (1 - weight) * nearest, 12), -np.inf)
+            i = int(value.argmax())  # of equal ones, to twelve digits, the smaller id
             chosen.append(i)
             left[i] = False
             nearest = np.maximum(nearest, like[i])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import terms
@@ -16,6 +16,7 @@ from corpusmill.tables import keep
 
 QUERY_BLOCK = 1024
 ENTRY_BLOCK = 16_384
+TERM_BLOCK = 4_000_000  # terms of the chunks in a block
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -79,6 +80,20 @@ def _block(k: int):  # noqa: ANN202
     return best
 
 
+def _in_blocks(asked: DataFrame, rows: DataFrame, plan: DataFrame) -> GroupedData:
+    """Every block of questions with every block of rows of its scope.
+
+    ``asked`` and ``rows``: (scope, key, ...) with the same columns; ``plan``: (scope, qb, eb), the
+    number of blocks of either side.
+    """
+    number = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asked.join(plan, "scope").withColumn("q", number("qb")).withColumn("e", every("eb")).withColumn("side", F.lit(0))
+    right = rows.join(plan, "scope").withColumn("e", number("eb")).withColumn("q", every("qb")).withColumn("side", F.lit(1))
+    cols = ["scope", "q", "e", "side", *(c for c in asked.columns if c != "scope")]
+    return left.select(*cols).unionByName(right.select(*cols)).groupBy("scope", "q", "e")
+
+
 def cosine_topk(questions: DataFrame, vectors: DataFrame, k: int, scope: str = "collection", where: Column | None = None, query_block: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, pos): exact cosine, the ``k`` best of the question's scope.
 
@@ -97,12 +112,7 @@ def cosine_topk(questions: DataFrame, vectors: DataFrame, k: int, scope: str = "
     sizes = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
     asks = asked.groupBy("scope").agg(F.count(F.lit(1)).alias("m"))
     plan = sizes.join(asks, "scope").select("scope", F.ceil(F.col("n") / ENTRY_BLOCK).cast("int").alias("eb"), F.ceil(F.col("m") / (query_block or QUERY_BLOCK)).cast("int").alias("qb"))
-    number = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = asked.join(plan, "scope").withColumn("q", number("qb")).withColumn("e", every("eb")).withColumn("side", F.lit(0))
-    right = rows.join(plan, "scope").withColumn("e", number("eb")).withColumn("q", every("qb")).withColumn("side", F.lit(1))
-    cols = ["scope", "q", "e", "side", "key", "vector"]
-    met = left.select(*cols).unionByName(right.select(*cols)).groupBy("scope", "q", "e").applyInArrow(_block(k), "query_id string, chunk_id string, score double")
+    met = _in_blocks(asked, rows, plan).applyInArrow(_block(k), "query_id string, chunk_id string, score double")
     return ranked(met, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -112,29 +122,81 @@ def postings(chunks: DataFrame) -> DataFrame:
     return each.groupBy("collection", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists, and where each list begins and the last ends."""
+    lists = column.combine_chunks()
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _lexical_block(k: int, k1: float, b: float):  # noqa: ANN202
+    def best(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        q, e = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        out: tuple[list, list, list] = ([], [], [])
+        if q.num_rows and e.num_rows:
+            names, keys = q.column("key").to_pylist(), np.array(e.column("key").to_pylist(), object)
+            rank = np.argsort(np.argsort(keys.astype("U")))
+            asked, begin = _lists(q.column("codes"))
+            idf, _ = _lists(q.column("weights"))
+            codes, at = np.unique(asked, return_inverse=True)
+            words, ends = _lists(e.column("codes"))
+            n, length = len(keys), np.diff(ends)
+            place = np.minimum(np.searchsorted(codes, words), len(codes) - 1)
+            known = codes[place] == words
+            # Postings of the asked terms: term after term, the chunks that hold it and how often.
+            pairs, tf = np.unique(place[known] * n + np.repeat(np.arange(n), length)[known], return_counts=True)
+            term, chunk = pairs // n, pairs % n
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[chunk] / q.column("mean_length")[0].as_py()))
+            starts = np.searchsorted(term, np.arange(len(codes) + 1))
+            for i, name in enumerate(names):
+                own = range(begin[i], begin[i + 1])
+                held = [slice(starts[at[x]], starts[at[x] + 1]) for x in own]
+                score = np.bincount(np.concatenate([chunk[h] for h in held]), np.concatenate([part[h] * idf[x] for h, x in zip(held, own, strict=True)]), n)
+                found = np.flatnonzero(score)
+                rounded = np.round(score[found], 9)
+                if len(found) > k:
+                    near = rounded >= np.partition(rounded, len(found) - k)[len(found) - k]
+                    found, rounded = found[near], rounded[near]
+                top = found[np.lexsort((rank[found], -rounded))[:k]]
+                out[0].extend([name] * len(top))
+                out[1].extend(keys[top].tolist())
+                out[2].extend(score[top].tolist())
+        return pa.table([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "score"])
+
+    return best
+
+
 def bm25_topk(questions: DataFrame, chunks: DataFrame, k: int, where: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, score, pos): BM25 inside the question's collection.
 
     ``questions``: (query_id, collection, text); ``chunks``: (id, collection, text, ...), id
     unique. Chunk count, document frequency and mean length are of the whole collection, before
     ``where``, chunks without a term included. A question's repeated terms count once; chunks
-    that share no term are not returned. Only postings of asked terms are built beyond counting;
-    a term that most chunks hold is spread over tasks by its chunks.
+    that share no term are not returned.
+
+    Texts are cut into terms once, each kept as a 64-bit hash. Document frequencies are counted
+    before the shuffle, so a term that most chunks hold costs a row a task. Questions and chunks
+    meet in blocks of bounded size, as in :func:`cosine_topk`, and postings exist only inside a
+    block: no shuffle by term, and what is ranked again is the ``k`` best of each block.
     """
-    base = chunks.select("collection", F.col("id").alias("chunk_id"), terms(F.col("text")).alias("terms"), (F.lit(True) if where is None else where).alias("passes"))
-    length = base.withColumn("len", F.size("terms"))
-    stats = length.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    asked = questions.select("query_id", "collection", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("collection", "term").distinct()
-    each = length.select("collection", "chunk_id", "len", "passes", F.explode("terms").alias("term")).join(wanted, ["collection", "term"], "left_semi")
-    # Written once: document frequencies and scores both read it.
-    posted = keep(each.groupBy("collection", "term", "chunk_id", "len", "passes").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    df = posted.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(stats, "collection").withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    weighed = posted.where("passes").join(idf, ["collection", "term"]).select("collection", "term", "chunk_id", part.alias("part"))
-    scored = asked.join(weighed, ["collection", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return ranked(scored, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k)
+    if k <= 0:
+        return questions.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, pos int")
+    codes = lambda text: F.transform(terms(text), lambda t: F.xxhash64(t))
+    base = keep(chunks.select(F.col("collection").alias("scope"), F.col("id").alias("key"), codes(F.col("text")).alias("codes"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("passes")), "terms")
+    size = F.size("codes")
+    stats = base.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean_length"), F.ceil(F.sum(size) / TERM_BLOCK).alias("_blocks"))
+    asked = questions.select(F.col("query_id").cast("string").alias("key"), F.col("collection").alias("scope"), F.explode(F.array_distinct(codes(F.col("text")))).alias("code"))
+    wanted = asked.select("scope", "code").distinct()
+    df = base.select("scope", F.explode(F.array_distinct("codes")).alias("code")).join(wanted, ["scope", "code"], "left_semi").groupBy("scope", "code").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df, ["scope", "code"]).join(stats, "scope").select("scope", "key", "mean_length", F.struct("code", idf.alias("weight")).alias("t"))
+    each = keep(weighed.groupBy("scope", "key").agg(F.collect_list("t").alias("t"), F.max("mean_length").alias("mean_length")).select("scope", "key", F.col("t.code").alias("codes"), F.col("t.weight").alias("weights"), "mean_length"), "weighed-questions")
+    rows = base.where("passes").select("scope", "key", "codes", F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("double").alias("mean_length"))
+    asks = each.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
+    plan = stats.join(asks, "scope").select("scope", "qb", F.greatest(F.lit(1), "_blocks", F.ceil(F.col("n") / ENTRY_BLOCK)).cast("int").alias("eb"))
+    met = _in_blocks(each, rows, plan).applyInArrow(_lexical_block(k, k1, b), "query_id string, chunk_id string, score double")
+    return ranked(met, ["query_id"], [F.desc(F.round("score", 9)), F.asc("chunk_id")], k)
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def cite(text: str, ids: list[str]) -> tuple[str, list[str]]:
 
     def swap(m: re.Match[str]) -> str:
         parts = [p.strip() for p in m[1].split(",")]
-        if not all(p.isdigit() and 1 <= int(p) <= len(ids) for p in parts):
+        if not all(p.isascii() and p.isdecimal() and 1 <= int(p) <= len(ids) for p in parts):
             return m[0]
         found = [ids[int(p) - 1] for p in parts]
         used.extend(found)
@@ -56,19 +58,15 @@ def cite(text: str, ids: list[str]) -> tuple[str, list[str]]:
 
 
 def renumber(text: str, citations: list[str]) -> tuple[str, list[str]]:
-    """Chunk ids in brackets as ``[n]`` by first appearance; what the text does not cite follows."""
-    order: list[str] = []
-    known = set(citations)
+    """Chunk ids in brackets as ``[n]`` each, by first appearance; what the text does not cite follows.
 
-    def swap(m: re.Match[str]) -> str:
-        parts = [p.strip() for p in m[1].split(",")]
-        if not all(p in known for p in parts):
-            return m[0]
-        order.extend(p for p in parts if p not in order)
-        return "[" + ", ".join(str(order.index(p) + 1) for p in parts) + "]"
-
-    out = _BRACKET.sub(swap, text)
-    return out, order + [c for c in citations if c not in order]
+    Unknown ids beside a known one are left out; a bracket without any known one stays.
+    """
+    known = set(citations)
+    ids_in = lambda inside: [p for p in map(str.strip, inside.split(",")) if p in known]
+    seen = dict.fromkeys(i for m in _BRACKET.finditer(text) for i in ids_in(m[1]))
+    place = {i: n for n, i in enumerate([*seen, *(c for c in dict.fromkeys(citations) if c not in seen)], 1)}
+    return _BRACKET.sub(lambda m: "".join(f"[{place[i]}]" for i in ids_in(m[1])) or m[0], text), list(place)
 
 
 def synthesize(question: str, hits: list[tuple[str, str]], generator: Generator, strict: bool = False) -> Answer:
@@ -108,9 +106,23 @@ def ask(store: Store, spark: SparkSession, question: str, o: RetrieveOptions, em
     return synthesize(question, [(h.chunk_id, h.text) for h in hits], generator, strict), hits
 
 
-def verify(answers: DataFrame, chunks: DataFrame, verifier: Verifier) -> tuple[DataFrame, DataFrame]:
+def _judged(texts: DataFrame, verifier: Verifier) -> DataFrame:
+    """(answer_id, pos, _v) of claims with evidence, a batch at a time."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [verifier(c, e)[0] if e else "unsupported" for c, e in zip(batch.column("claim").to_pylist(), batch.column("evidence").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("answer_id"), batch.column("pos"), pa.array(said, pa.string())], names=["answer_id", "pos", "_v"])
+
+    kind = texts.schema["answer_id"].dataType.simpleString()
+    return texts.select("answer_id", "pos", "claim", "evidence").mapInArrow(judge, f"answer_id {kind}, pos int, _v string")
+
+
+def verify(answers: DataFrame, chunks: DataFrame, verifier: Verifier, origins: DataFrame | None = None, default: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(claims with verdicts, support per answer) of answers (answer_id, text, valid).
 
+    ``origins`` and ``default`` tell the collections of cited ids (:func:`evidence`).
+
     Uncited claims are not judged. An answer that marks nothing but has citations is judged
     against all of them. Without evidence a claim is unsupported.
     """
@@ -121,9 +133,7 @@ def verify(answers: DataFrame, chunks: DataFrame, verifier: Verifier) -> tuple[D
     against_all = F.col("_bare") & (F.size("valid") > 0)
     full = full.withColumn("cited", F.when(against_all, F.col("valid")).otherwise(F.col("cited"))).withColumn("verdict", F.when(against_all, None).otherwise(F.col("verdict")))
     full = keep(full.select("answer_id", "pos", "claim", "cited", "verdict"), "cited-claims")
-    texts = evidence(full, chunks)
-    judge = F.udf(lambda c, e: verifier(c, e)[0] if e else "unsupported", "string")
-    judged = texts.select("answer_id", "pos", judge("claim", "evidence").alias("_v"))
+    judged = _judged(evidence(full, chunks, origins, default), verifier)
     out = full.join(judged, ["answer_id", "pos"], "left").withColumn("verdict", F.coalesce("verdict", "_v", F.lit("unsupported"))).drop("_v")
     out = keep(out, "verdicts")
     every = answers.select("answer_id").join(out.select("answer_id", "verdict"), "answer_id", "left")

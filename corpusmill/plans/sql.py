@@ -98,6 +98,20 @@ SELECT next AS snapshot_no, collection, source_uri, 'removed' AS change_kind, NU
 UNION ALL SELECT snapshot_no, collection, source_uri, 'changed', hash, before, ingested_before FROM filled WHERE place > 1 AND hash <> before"""
 
 
+def _mmr(k: int, pool: int, weight: float) -> list[str]:
+    """One pick after another: the best of what is left, then every likeness to it."""
+    unit = lambda v: f"list_transform({v}.v, lambda x: x / {v}.norm)"
+    parts = [
+        f"left1 AS (SELECT n.query_id, n.chunk_id, round(n.score, 12) AS score, CASE WHEN e.norm > 0 THEN {unit('e')} END AS u, 0.0 AS nearest FROM near n LEFT JOIN vectors1 e USING (chunk_id) WHERE n.pos <= {pool})",
+    ]
+    for i in range(1, k + 1):
+        value = f"{weight} * score - {1 - weight} * nearest"
+        parts.append(f"pick{i} AS (SELECT query_id, unnest(arg_min({{'chunk_id': chunk_id, 'score': score, 'u': u}}, {{'a': -round({value}, 12), 'b': chunk_id}})) FROM left{i} GROUP BY query_id)")
+        like = "coalesce(CASE WHEN len(l.u) = len(p.u) THEN list_inner_product(l.u, p.u) END, 0.0)"
+        parts.append(f"left{i + 1} AS (SELECT l.query_id, l.chunk_id, l.score, l.u, greatest(l.nearest, {like}) AS nearest FROM left{i} l JOIN pick{i} p USING (query_id) WHERE l.chunk_id <> p.chunk_id)")
+    return parts
+
+
 def oracle_sql() -> dict[str, str]:
     second = "second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM hits1)"
     expected = """best AS (SELECT query_id, split_part(arg_min(chunk_id, {'a': -score, 'b': chunk_id}), ':', 1) AS document_id FROM hits1 GROUP BY query_id),
@@ -113,6 +127,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf
     return {
         "p3_found": P3,
         "p3_old_values": P3_OLD,
+        # A null hash makes no change, so the runs' differences are the changes of problem 3.
+        "collection_diff_all": f"SELECT snapshot_no, collection, source_uri, change_kind AS status FROM ({P3})",
+        "ingest_outcomes_all": P3.split("\nSELECT snapshot_no, collection, source_uri, 'added'")[0].replace("hash, loaded_at\n", "hash, loaded_at, fingerprint\n").replace("arg_max({'h': hash}, loaded_at).h AS hash", "arg_max({'h': hash, 'i': fingerprint}, loaded_at).h AS hash, arg_max({'h': hash, 'i': fingerprint}, loaded_at).i AS fingerprint") + """,
+filled AS (SELECT *, coalesce(hash, before, first_value(hash IGNORE NULLS) OVER (PARTITION BY collection, source_uri, island ORDER BY snapshot_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS h FROM known),
+pairs AS (SELECT *, lag(h) OVER w AS old_h, lag(fingerprint) OVER w AS old_f FROM filled WINDOW w AS (PARTITION BY collection, source_uri, island ORDER BY snapshot_no))
+SELECT snapshot_no, collection, CASE WHEN place = 1 THEN 'new' WHEN fingerprint <> '' AND fingerprint = old_f THEN 'unchanged' WHEN h = old_h THEN 'refreshed' ELSE 'changed' END AS outcome, count(*) AS documents FROM pairs WHERE prev IS NOT NULL GROUP BY ALL""",
+        "mmr_select": _with(VECTORS, ASKING, _near(50), *_mmr(8, 50, 0.5), select=" UNION ALL ".join(f"SELECT query_id, chunk_id, round(score, 6) AS score, {i}::INT AS pos FROM pick{i}" for i in range(1, 9))),
+        "hits_as_json": _with(
+            HITS, r"""digits AS (SELECT *, CASE WHEN score = 0 OR abs(score) >= 0.001 THEN score::VARCHAR WHEN score::VARCHAR LIKE '%e%' THEN regexp_replace(regexp_replace(score::VARCHAR, 'e-0?', 'E-'), '^(-?\d)E', '\1.0E')
+  ELSE CASE WHEN score < 0 THEN '-' ELSE '' END || regexp_extract(score::VARCHAR, '0\.0*([1-9])', 1) || '.' || coalesce(nullif(regexp_extract(score::VARCHAR, '0\.0*[1-9](\d*)', 1), ''), '0') || 'E-' || (len(regexp_extract(score::VARCHAR, '0\.(0*)', 1)) + 1) END AS shown FROM hits1)""",
+            select="""SELECT query_id, '[' || string_agg('{"chunk_id":' || to_json(chunk_id) || ',"score":' || shown || coalesce(',"source":' || to_json(source), '') || '}', ',' ORDER BY pos) || ']' AS json FROM digits GROUP BY query_id"""),
+        "cross_collection_topk_all": _with(
+            VECTORS, ASKING, f"spaced AS (SELECT e.*, c.model, c.dimensions FROM vectors1 e JOIN collections c ON c.name = e.collection), every AS (SELECT q.query_id, e.collection, e.chunk_id, {COSINE} AS score FROM asking q JOIN collections c ON c.name = q.collection JOIN spaced e ON e.model = c.model AND e.dimensions = c.dimensions)",
+            select="SELECT query_id, chunk_id, round(score, 6) AS score, collection, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id)::INT AS pos FROM every) WHERE pos <= 8"),
+        "similarity_join_all": _with(
+            VECTORS, "others AS (SELECT a.name AS collection, b.name AS target FROM collections a JOIN collections b ON a.model = b.model AND a.dimensions = b.dimensions AND a.name <> b.name)",
+            "asked AS (SELECT v.chunk_id AS query_id, v.collection, o.target, v.v, v.norm FROM vectors1 v LEFT JOIN others o USING (collection))",
+            f"every AS (SELECT q.query_id, q.collection, q.target, e.chunk_id, {COSINE} AS score FROM asked q LEFT JOIN vectors1 e ON e.collection = q.target)",
+            select="SELECT query_id, collection, target, chunk_id, CASE WHEN chunk_id IS NOT NULL THEN round(score, 6) END AS score, CASE WHEN chunk_id IS NOT NULL THEN pos END AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, target ORDER BY round(score, 12) DESC, chunk_id)::INT AS pos FROM every) WHERE pos <= 3"),
         "cosine_topk": _with(VECTORS, ASKING, _near(8), select=near_out),
         "cosine_topk_filtered": _with(
             VECTORS, ASKING, DOCS,

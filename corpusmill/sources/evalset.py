@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.errors import UsageError
@@ -12,15 +12,18 @@ from corpusmill.errors import UsageError
 CASE = "question string, expected_sources array<string>, expected_chunks array<string>, expected_answer string"
 HIT = "chunk_id string, seq int, text string, heading_path string, score double, source string, collection string, ingested_at timestamp"
 VERSION = 1
+MOST_BYTES = 8 << 20  # of a line
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """(case_no, question, expectations) from JSON lines; a first line ``{"version": n}`` is a header.
 
-    Blank lines are skipped. A newer version, an empty question, a line that is no case and an
-    empty set raise.
+    Blank lines are skipped. A newer version, an empty question, a line that is no case or has
+    more than MOST_BYTES, and an empty set raise.
     """
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("case_no"), F.trim("value").alias("value")).where("value != ''")
+    if not lines.where(F.octet_length("value") > MOST_BYTES).isEmpty():
+        raise UsageError(f"a line of the question set has more than {MOST_BYTES} bytes")
     first = lines.orderBy("case_no").first()
     if first is None:
         raise UsageError("the question set is empty")
@@ -44,8 +47,9 @@ def expected_items(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Ranked hits from a JSON array or JSON lines; what an answer needs, in file order."""
-    return spark.read.schema(HIT).option("multiLine", True).json(path).withColumn("pos", (F.monotonically_increasing_id() + 1).cast("int"))
+    """The ranked hits of one answer from a JSON array or JSON lines, several files by name; what an answer needs, in file order."""
+    rows = spark.read.schema(HIT).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(True)).orderBy("_file", "_row"))).drop("_file", "_row")
 
 
 def hits_json(hits: DataFrame) -> DataFrame:

@@ -1,19 +1,23 @@
-"""Files under a root as a table: name, type, fingerprint, content."""
+"""Files under a root as a table: name, type, fingerprint, content. The root may lie on any file system that pyarrow reads."""
 
 from __future__ import annotations
 
 import hashlib
 import mimetypes
 import os
+import posixpath
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.errors import InvariantError, NotFound, UsageError
 from corpusmill.functions.globs import excluded
+from corpusmill.tables import keep
 
 MOST_BYTES = 256 << 20
 HEAD = 8192
@@ -36,37 +40,74 @@ def content_type(path: str) -> str:
     return TYPES.get(ext) or mimetypes.types_map.get(ext, "application/octet-stream")
 
 
+def content_type_of(path: Column) -> Column:
+    """:func:`content_type` as a column: the extensions of this engine and those the system knows."""
+    known = {e: t for e, t in {**mimetypes.types_map, **TYPES}.items()}
+    ext = F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]*)$", 1))
+    table = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    return F.coalesce(F.try_element_at(table, ext), F.lit("application/octet-stream"))
+
+
 def fingerprint(data: bytes) -> str:
     """The size and a digest of size, first and last bytes; up to twice HEAD all bytes count."""
     parts = data if len(data) <= 2 * HEAD else data[:HEAD] + data[-HEAD:]
     return f"{len(data)}:{hashlib.sha256(len(data).to_bytes(8, 'little') + parts).hexdigest()}"
 
 
-def _walk(root: str) -> Iterator[str]:
-    if os.path.isfile(root):
-        yield root
-        return
-    if not os.path.isdir(root):
-        raise NotFound(f"no such file or folder: {root}")
-    for place, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if not f.startswith("."))
-        yield from (os.path.join(place, n) for n in sorted(names) if not n.startswith(".") and os.path.isfile(os.path.join(place, n)))
+def _system(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path, the path in it, and what comes before it in a URI."""
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", path) and not path.startswith("file://"):
+        system, inner = fs.FileSystem.from_uri(path)
+        return system, inner, path[: -len(inner)] if inner and path.endswith(inner) else ""
+    return fs.LocalFileSystem(), os.path.abspath(re.sub("^file:/+", "/", path)), ""
+
+
+def _hidden(path: str) -> bool:
+    return posixpath.basename(path).startswith(".")
+
+
+def _entries(system: fs.FileSystem, place: str) -> tuple[list[tuple], list[str]]:
+    """(path, size, mtime) of the visible files of a folder, and its visible folders."""
+    found = sorted((e for e in system.get_file_info(fs.FileSelector(place)) if not _hidden(e.path)), key=lambda e: e.path)
+    files = [(e.path, e.size, e.mtime and e.mtime.replace(microsecond=0)) for e in found if e.type == fs.FileType.File]
+    return files, [e.path for e in found if e.type == fs.FileType.Directory]
+
+
+_LISTED = "path string, size long, mtime timestamp"
 
 
 def walk(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFrame:
     """Regular, visible files under ``root`` (hidden folders left out, names with ``_`` kept), without their content.
 
-    Only names and sizes pass the driver; contents are read by the tasks (:func:`read_contents`).
+    The driver lists the root itself only; every folder below is walked by a task, and what is
+    found is written once. A file of more than MOST_BYTES raises. Contents are read by
+    :func:`read_contents`.
     """
-    import datetime as dt
-
-    rows = []
-    for path in _walk(os.path.abspath(root)):
-        st = os.stat(path)
-        if st.st_size > MOST_BYTES:
-            raise InvariantError(f"{path} has {st.st_size} bytes; at most {MOST_BYTES} are read")
-        rows.append(("file://" + path, path, content_type(path), st.st_size, dt.datetime.fromtimestamp(int(st.st_mtime), dt.UTC)))
-    df = spark.createDataFrame(rows, FILES)
+    system, place, before = _system(root)
+    info = system.get_file_info(place)
+    if info.type == fs.FileType.NotFound:
+        raise NotFound(f"no such file or folder: {root}")
+    files, folders = ([(place, info.size, info.mtime and info.mtime.replace(microsecond=0))], []) if info.type == fs.FileType.File else _entries(system, place)
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _system(root)[0]
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                waiting = [folder]
+                while waiting:
+                    found, more = _entries(own, waiting.pop())
+                    waiting += more
+                    columns = list(zip(*found, strict=True)) if found else [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.timestamp("us", "UTC"))], names=["path", "size", "mtime"])
+
+    rows = spark.createDataFrame(files, _LISTED)
+    if folders:
+        rows = rows.unionByName(spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 1000), "folder").mapInArrow(below, _LISTED))
+    full = F.concat(F.lit(before), "path")
+    df = rows.select((full if before else F.concat(F.lit("file://"), "path")).alias("source_uri"), full.alias("path"), content_type_of(F.col("path")).alias("content_type"), "size", "mtime")
+    df = keep(df, "files")
+    if large := df.where(F.col("size") > MOST_BYTES).select("path", "size").first():
+        raise InvariantError(f"{large.path} has {large.size} bytes; at most {MOST_BYTES} are read")
     return df.where(~excluded(F.col("source_uri"), list(exclude))) if exclude else df
 
 
@@ -76,7 +117,8 @@ def read_contents(files: DataFrame, per_task: int = 64) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, path in enumerate(batch.column("path").to_pylist()):
-                with open(path, "rb") as f:
+                system, inner, _ = _system(path)
+                with system.open_input_stream(inner) as f:
                     data = f.read()
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([data], pa.binary()), pa.array([fingerprint(data)])], names=[*one.schema.names, "content", "fingerprint"])

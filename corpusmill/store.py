@@ -1,7 +1,9 @@
 """Collections on parquet: documents, chunks and vectors in versions, one writer at a time.
 
-Every change writes a new version beside the old one and then moves the pointer; readers keep
-the version they opened. A change reads and rewrites the collection it touches only.
+Every change writes a new version beside the old one and then a new pointer, the newest of which
+counts; readers keep the version they opened. A pointer is never replaced, so a crash leaves the
+collection as it was, and of two writers that began from one pointer the second fails. A change
+reads and rewrites the collection it touches only.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.errors import InvariantError, NotFound, UsageError
@@ -54,6 +56,10 @@ class Collection:
     created_at: str
     sources: list[str] = field(default_factory=list)
     version: str = ""
+    revision: int = 0
+
+
+_POINTER = re.compile(r"_collection-(\d+)\.json")
 
 
 class Store:
@@ -65,10 +71,16 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _pointers(self, name: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}")
+        found = [_POINTER.fullmatch(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(m[1]) for m in found if m)
+
     def _load(self, name: str) -> Collection | None:
-        fs, p = self._fs(f"{self.root}/{name}/_collection.json")
-        if not fs.exists(p):
+        revisions = self._pointers(name)
+        if not revisions:
             return None
+        fs, p = self._fs(f"{self.root}/{name}/_collection-{revisions[-1]}.json")
         stream = fs.open(p)
         try:
             raw = json.loads(bytes(stream.readAllBytes()))
@@ -77,13 +89,18 @@ class Store:
         return Collection(**raw | {"chunker": Chunker(**raw["chunker"]) if raw["chunker"] else None})
 
     def _save(self, c: Collection) -> None:
-        fs, p = self._fs(f"{self.root}/{c.name}/_collection.json.{uuid.uuid4().hex}")
+        """The next pointer, written aside and renamed; the last but one goes."""
+        revision = c.revision + 1
+        fs, p = self._fs(f"{self.root}/{c.name}/_new-{uuid.uuid4().hex}")
         out = fs.create(p)
-        out.write(bytearray(json.dumps(asdict(c)).encode()))
+        out.write(bytearray(json.dumps(asdict(c) | {"revision": revision}).encode()))
         out.close()
-        _, to = self._fs(f"{self.root}/{c.name}/_collection.json")
-        fs.delete(to, False)
-        fs.rename(p, to)
+        _, to = self._fs(f"{self.root}/{c.name}/_collection-{revision}.json")
+        if self._pointers(c.name)[-1:] > [c.revision] or not fs.rename(p, to):
+            fs.delete(p, False)
+            raise InvariantError(f"another writer changed {c.name!r}")
+        c.revision = revision
+        fs.delete(self._fs(f"{self.root}/{c.name}/_collection-{revision - 2}.json")[1], False)
 
     def create(self, name: str, embedder: Embedder, chunker: Chunker | None = None) -> Collection:
         if not NAME.fullmatch(name):
@@ -146,12 +163,13 @@ class Store:
         c = self.get(name)
         self.check(c, embedder)
         stored = self.table(name, "documents")
-        fresh = files.join(stored.where("fingerprint != ''").select("source_uri", "fingerprint"), ["source_uri", "fingerprint"], "left_anti")
+        seen = Observation()
+        fresh = files.observe(seen, F.count(F.lit(1)).alias("files")).join(stored.where("fingerprint != ''").select("source_uri", "fingerprint"), ["source_uri", "fingerprint"], "left_anti")
         texts = keep(extract(fresh, metadata).withColumn("hash", F.sha2("text", 256)), "extracted")
         judged = outcomes(texts.select("source_uri", F.lit("").alias("fingerprint"), "hash"), stored)
         texts = keep(texts.join(judged, "source_uri").withColumn("outcome", F.when(F.col("error").isNotNull(), "unsupported").when(F.trim("text") == "", "skipped").otherwise(F.col("outcome"))), "judged")
         counts = {r.outcome: r.n for r in texts.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-        counts["unchanged"] = counts.get("unchanged", 0) + files.count() - texts.count()
+        counts["unchanged"] = counts.get("unchanged", 0) + seen.get["files"] - sum(counts.values())
         wanted = texts.where("outcome in ('new', 'changed', 'refreshed')")
         if wanted.isEmpty():
             return {k: v for k, v in counts.items() if v}
@@ -220,13 +238,13 @@ class Store:
 
     def remove_chunks(self, name: str, ids: list[str]) -> int:
         """Chunks and their vectors; the document row stays. Unknown ids raise before anything is removed."""
-        chunks = self.table(name, "chunks")
-        known = {r.id for r in chunks.where(F.col("id").isin(ids)).select("id").collect()}
-        if missing := sorted(set(ids) - known):
-            raise NotFound("no such chunk: " + ", ".join(missing))
-        vectors = self.table(name, "vectors")
-        self._commit(self.get(name), {"documents": self.table(name, "documents"), "chunks": chunks.where(~F.col("id").isin(ids)), "vectors": vectors.where(~F.col("chunk_id").isin(ids))})
-        return len(known)
+        chunks, vectors = self.table(name, "chunks"), self.table(name, "vectors")
+        gone = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "_id string")
+        if missing := gone.join(chunks, F.col("_id") == F.col("id"), "left_anti").orderBy("_id").limit(20).collect():
+            raise NotFound("no such chunk: " + ", ".join(r[0] for r in missing))
+        kept = chunks.join(gone, F.col("id") == F.col("_id"), "left_anti")
+        self._commit(self.get(name), {"documents": self.table(name, "documents"), "chunks": kept, "vectors": vectors.join(gone, F.col("chunk_id") == F.col("_id"), "left_anti")})
+        return len(set(ids))
 
     def drop(self, name: str) -> None:
         self.get(name)
@@ -270,6 +288,7 @@ class Store:
         if embedder is not None:
             length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
             vectors = vectors.withColumn("vector", embedded(F.col("text"), embedder)).withColumn("norm", length)
-        c = Collection(name, embedder.model if embedder else old["model"], embedder.dimensions if embedder else old["dimensions"], Chunker(**old["chunker"]) if old["chunker"] else None, old["created_at"])
+        c = Collection(name, embedder.model if embedder else old["model"], embedder.dimensions if embedder else old["dimensions"], Chunker(**old["chunker"]) if old["chunker"] else None, old["created_at"], list(old.get("sources", [])))
+        c.revision = (self._pointers(name) or [0])[-1]
         self._commit(c, {"documents": docs, "chunks": chunks, "vectors": vectors})
         return c

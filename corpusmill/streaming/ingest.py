@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.plans.ports import Embedder
-from corpusmill.sources.files import content_type, fingerprint
+from corpusmill.sources.files import content_type_of, fingerprint
 from corpusmill.store import Store
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
@@ -22,9 +22,8 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of files in the shape that ingest takes."""
     raw = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(folder)
     uri = F.regexp_replace("path", "^file:/+", "file:///")
-    kind = F.udf(content_type, T.StringType())
-    mark = F.udf(lambda b: fingerprint(bytes(b)), T.StringType())
-    return raw.select(uri.alias("source_uri"), "path", kind("path").alias("content_type"), F.col("length").alias("size"), F.date_trunc("second", "modificationTime").alias("mtime"), "content", mark("content").alias("fingerprint"))
+    mark = F.pandas_udf(lambda data: data.map(fingerprint), T.StringType())
+    return raw.select(uri.alias("source_uri"), "path", content_type_of(F.col("path")).alias("content_type"), F.col("length").alias("size"), F.date_trunc("second", "modificationTime").alias("mtime"), "content", mark("content").alias("fingerprint"))
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: Store, name: str, embedder: Embedder, checkpoint: str) -> StreamingQuery:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +42,19 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> str:
+    """Write ``df`` once to the shared folder; its path, for tasks that read it by :func:`rows_at`."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
+def rows_at(path: str) -> pa.Table:
+    """A table in the shared folder, read inside a task; for small ones only, such as a trained model."""
+    local = re.match(r"^(?:file:/*)?(?=/)|^file:/+", path)
+    if local:
+        return pq.read_table("/" + path[local.end() :].lstrip("/"))
+    place, name = fs.FileSystem.from_uri(path)
+    return pq.read_table(name, filesystem=place)

@@ -128,3 +128,17 @@ def test_words(spark):
     assert [len(r[0]) for r in df.select(words(F.col("t"))).collect()] == [2, 0, 0]
     cut = spark.createDataFrame([("a b c d e f g",), ("a b",), (" ",)], "t string").select(fixed_windows(F.col("t"), 3, 1))
     assert [list(r[0]) for r in cut.collect()] == [["a b c", "c d e", "e f g"], ["a b"], []]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_dates_mean_utc_in_any_session(spark, zone):
+    from corpusmill.functions.dates import parse_time, path_time
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([("2025-06-01", "/a/2025-06-01.md"), ("2025-06-01T00:00:00", "/w/2025-W22"), ("2025-06-01T02:00:00+02:00", "/x"), ("2025-02-30", "/2025-02-30")], "t string, p string")
+        got = rows.select(F.unix_seconds(parse_time(F.col("t"))).alias("t"), F.unix_seconds(path_time(F.col("p"))).alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.t for r in got] == [1748736000] * 3 + [None] and [r.p for r in got] == [1748736000, 1748217600, None, None]

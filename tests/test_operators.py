@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.errors import GateError, UsageError
+from corpusmill.errors import GateError, NotFound, UsageError
 from corpusmill.operators import chunking as c
 from corpusmill.operators import claims, corpus, evaluate, rank, search, snapshots
 
@@ -245,3 +245,57 @@ def test_digest(spark):
 
     df = spark.createDataFrame([("k", "b", "2", None), ("k", "a", "1", None)], "collection string, source_uri string, hash string, ingested_at timestamp")
     assert corpus.corpus_digest(df).first().digest == hashlib.sha256(b"a\x001\x00b\x002\x00").hexdigest()
+
+
+def test_evidence_by_collection(spark):
+    found = spark.createDataFrame([("q", 0, "c", ["x", "y"])], "answer_id string, pos int, claim string, cited array<string>")
+    chunks = spark.createDataFrame([("x", "a", "x of a"), ("x", "b", "x of b"), ("y", "a", "y of a"), ("y", "b", "y of b")], "id string, collection string, text string")
+    origins = spark.createDataFrame([("q", "x", "b"), ("q", "y", "")], "answer_id string, chunk_id string, collection string")
+    assert [r.evidence for r in claims.evidence(found, chunks, origins, "a").collect()] == ["x of b\n\ny of a"]
+
+
+def test_digest_and_selector(spark):
+    import hashlib
+
+    t = dt.datetime(2025, 1, 1)
+    rows = [("c", f"u{i:04d}", f"h{i}", t + dt.timedelta(days=i % 7)) for i in range(500)] + [("d", "x", "h", None), ("e", None, None, t)]
+    docs = spark.createDataFrame(rows, "collection string, source_uri string, hash string, ingested_at timestamp").repartition(5)
+    got = {r.collection: (r.digest, r.last_ingest) for r in corpus.corpus_digest(docs).collect()}
+    whole = "".join(f"{u}\0{h}\0" for c, u, h, _ in sorted(rows[:500]))
+    assert got == {"c": (hashlib.sha256(whole.encode()).hexdigest(), t + dt.timedelta(days=6)), "d": (hashlib.sha256(b"x\0h\0").hexdigest(), None), "e": (hashlib.sha256(b"").hexdigest(), t)}
+    assert corpus.corpus_digest(docs.limit(0)).count() == 0
+    assert corpus.select_one(docs, "u0007", None).hash == "h7"
+    with pytest.raises(UsageError, match="several"):
+        corpus.select_one(docs, "u00", None)
+    with pytest.raises(NotFound):
+        corpus.select_one(docs, "none", None)
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "TERM_BLOCK", 300)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    texts = {f"c{i:03d}": " ".join(rng.choices(words, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 30))) for i in range(200)}
+    texts |= {f"e{i}": t for i, t in enumerate(list(texts.values())[:20])}
+    asked = {f"q{i}": " ".join(rng.sample(words, 4) + ["w0", "unknown"]) for i in range(30)} | {"none": "unknown", "empty": ""}
+    chunks = spark.createDataFrame([(i, "k", t, "x") for i, t in texts.items()] + [("z", "k", None, "x"), ("o", "other", "w0", "x")], "id string, collection string, text string, codes string")
+    questions = spark.createDataFrame([(q, "k", t) for q, t in asked.items()], "query_id string, collection string, text string")
+    got = {}
+    for r in search.bm25_topk(questions, chunks, 5).orderBy("pos").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    held = {i: Counter(t.split()) for i, t in texts.items()} | {"z": Counter()}
+    n, mean = len(held), sum(sum(c.values()) for c in held.values()) / len(held)
+    df = Counter(w for c in held.values() for w in c)
+    want = {}
+    for q, t in asked.items():
+        score = {i: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set(t.split()) if c[w]) for i, c in held.items()}
+        best = sorted((-round(s, 9), i) for i, s in score.items() if s)[:5]
+        if best:
+            want[q] = [i for _, i in best]
+    assert got == want
+    assert search.bm25_topk(questions, chunks, 0).count() == search.bm25_topk(questions.limit(0), chunks, 5).count() == search.bm25_topk(questions, chunks.limit(0), 5).count() == 0

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tempfile
 import zipfile
 from pathlib import Path
@@ -8,8 +9,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.errors import InvariantError, NotFound, UsageError
+from corpusmill.errors import GateError, InvariantError, NotFound, UsageError
 from corpusmill.plans import answer, ports
+from corpusmill.plans.evaluation import evaluate_file
 from corpusmill.plans.resolve import RetrieveOptions, resolve, validate
 from corpusmill.sources import evalset, extract, files
 from corpusmill.store import Chunker, Store
@@ -152,7 +154,8 @@ def test_options_that_exclude_each_other(bad):
 def test_citations_and_cache(spark):
     assert answer.cite("A [1]. B [2, 1] [x] [9].", ["i", "j"]) == ("A [i]. B [j, i] [x] [9].", ["i", "j"])
     assert answer.cite("none", ["i", "j"])[1] == ["i", "j"]
-    assert answer.renumber("A [j]. B [i, j].", ["i", "j", "k"]) == ("A [1]. B [2, 1].", ["j", "i", "k"])
+    assert answer.cite(f"A [{chr(0xB2)}] [1].", ["i"]) == (f"A [{chr(0xB2)}] [i].", ["i"])
+    assert answer.renumber("A [j]. B [i, j, z] [z].", ["i", "j", "k"]) == ("A [1]. B [2][1] [z].", ["j", "i", "k"])
     cache = spark.sql("SELECT 'k' AS key, 'old' AS answer, timestamp'2025-01-01' AS stored_at")
     keys = spark.createDataFrame([("k",), ("z",)], "key string")
     assert {tuple(r) for r in answer.cache_get(cache, keys, "2024-12-31").collect()} == {("k", "old"), ("z", None)}
@@ -175,4 +178,63 @@ def test_question_sets(spark, folder):
     assert evalset.hits_json(hits).first().json == '[{"chunk_id":"a","score":0.5},{"chunk_id":"b"}]'
     path.write_text('[{"chunk_id": "a", "score": 0.5}, {"chunk_id": "b"}]')
     assert [r.chunk_id for r in evalset.read_hits(spark, str(path)).orderBy("pos").collect()] == ["a", "b"]
-    assert F is not None
+    (folder / "more").mkdir()
+    for name, ids in (("a", "xy"), ("b", "zw")):
+        (folder / "more" / f"{name}.json").write_text(json.dumps([{"chunk_id": i} for i in ids]))
+    assert [(r.pos, r.chunk_id) for r in evalset.read_hits(spark, str(folder / "more")).orderBy("pos").collect()] == [(1, "x"), (2, "y"), (3, "z"), (4, "w")]
+    path.write_text(json.dumps({"question": "a" * evalset.MOST_BYTES}))
+    with pytest.raises(UsageError, match="more than"):
+        evalset.read_cases(spark, str(path))
+
+
+def test_evaluation_from_a_file(spark, folder):
+    store = Store(spark, str(folder / "store"))
+    store.create("docs", EMBED)
+    store.add("docs", str(folder / "in"), EMBED, exclude=["*.pdf", "bad.txt"])
+    path = folder / "cases.jsonl"
+    uri = f"file://{folder}/in/_notes.md"
+    path.write_text("\n".join(json.dumps(x) for x in ({"version": 1}, {"question": "rotate the signing keys", "expected_sources": [uri]}, {"question": "alpha beta", "expected_sources": ["file:///none"]}, {"question": "nothing expected"})))
+    options = RetrieveOptions(["docs"], k=2, hybrid=True)
+    each, report = evaluate_file(store, str(path), options, EMBED)
+    assert {r.question: r.mrr for r in each.collect()} == {"rotate the signing keys": 1.0, "alpha beta": 0.0}
+    assert report.first().questions == 2 and report.first().recall == 0.5
+    with pytest.raises(GateError, match="mrr"):
+        evaluate_file(store, str(path), options, EMBED, least={"mrr": 0.9})
+    recent = resolve(store, spark.createDataFrame([("q", "alpha beta")], "query_id string, text string"), RetrieveOptions(["docs"], k=2, recency=True), EMBED)
+    assert recent.count() == 2  # now is when it runs
+
+
+def test_two_writers_and_imported_sources(spark, folder):
+    store = Store(spark, str(folder / "store"))
+    store.create("docs", EMBED)
+    store.add("docs", str(folder / "in"), EMBED, exclude=["*.pdf", "bad.txt"])
+    one, two = store.get("docs"), store.get("docs")
+    one.sources.append("x")
+    store._save(one)
+    with pytest.raises(InvariantError, match="another writer"):
+        store._save(two)
+    one.sources.remove("x")
+    store._save(one)
+    store.export("docs", str(folder / "out"))
+    other = store.load(str(folder / "out"), "again")
+    assert other.sources == store.get("again").sources == [str(folder / "in")]
+    assert store.load(str(folder / "out"), "again", force=True).name == "again" and store.names() == ["again", "docs"]
+    ids = [r.id for r in store.table("docs", "chunks").select("id").collect()]
+    with pytest.raises(NotFound):
+        store.remove_chunks("docs", [ids[0], "none"])
+    assert store.remove_chunks("docs", ids[:1] * 2) == 1 and store.table("docs", "chunks").count() == store.table("docs", "vectors").count() == len(ids) - 1
+
+
+def test_walk_below_the_root(spark, folder):
+    for place in ("in/a/b", "in/a/.no", "in/c"):
+        (folder / place).mkdir(parents=True)
+        (folder / place / "_x.Markdown").write_text("x")
+    got = {r.source_uri: (r.content_type, r.size) for r in files.walk(spark, str(folder / "in"), ["*.pdf"]).collect()}
+    root = f"file://{folder}/in"
+    assert got == {f"{root}/alpha.txt": ("text/plain", 30), f"{root}/_notes.md": ("text/markdown", 78), f"{root}/rows.csv": ("text/csv", 38), f"{root}/bad.txt": ("text/plain", 2), f"{root}/a/b/_x.Markdown": ("text/markdown", 1), f"{root}/c/_x.Markdown": ("text/markdown", 1)}
+    assert files.walk(spark, str(folder / "in" / "rows.csv")).count() == 1
+    with pytest.raises(NotFound):
+        files.walk(spark, str(folder / "none"))
+    names = ["/a/b.MD", "/a.b/c", "/x.tar.gz", "/.hidden", "/d.pdf", "/e.", "/f.unknownext"]
+    rows = spark.createDataFrame([(n,) for n in names], "p string").select("p", files.content_type_of(F.col("p")).alias("t")).collect()
+    assert {r.p: r.t for r in rows} == {n: files.content_type(n) for n in names}
