@@ -10,9 +10,13 @@ four-bit minhashes estimate the similarity and discard chance collisions. What i
 verified against the words themselves.
 
 Equal word sets are one class before anything else, so copies cost nothing in the search; the
-pairs of ids written out are all of them and grow with the square of a class. A
-sub-key shared by very many texts is not gathered in one task: its texts are spread over the
-256 table keys, and table keys that stay large over blocks that meet pairwise.
+pairs of ids written out are all of them and grow with the square of a class. A first sub-key
+shared by very many texts is not gathered in one task: a sample of the texts tells such keys
+before the shuffle, and their texts go straight to the 16 table keys that each opens with its
+second collection. The texts of a table key that is still large are cut into blocks of META, and
+every block meets every other, each pair of blocks a task of its own: nothing is left out, so the
+work on m different texts that all agree in a table grows with m squared, as the links between
+them do.
 """
 
 from __future__ import annotations
@@ -39,7 +43,11 @@ SEED = 7
 SIMILARITY = 0.6
 LEAST_EQUAL = 27  # of 64 four-bit minhashes; at similarity 0.6 40 +- 4 are expected
 BUCKET = 20_000  # texts of one first sub-key that are compared in one task
-BLOCK = 512  # texts of one table key that are compared at once
+BLOCK = 512  # texts of one table key that are compared where their first sub-key is, and members of a class that are paired at once
+META = 4096  # texts of one table key in a block
+HOT_SAMPLE = 64  # of so many texts one is counted to find first sub-keys of more than BUCKET texts
+HOT_KEYS = 1_000_000  # such keys that are handled before the shuffle, the most frequent ones; others are afterwards
+BROADCAST_KEYS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|mark|s|small|span|strong|sub|sup|tt|u|wbr)\b[^<>]*>", re.I)
@@ -110,11 +118,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = words(text)
             if key is None or not found:
                 continue
-            hashes = np.fromiter(map(_word_hash, found), np.uint64, len(found))
-            hashes.sort()
+            cls, hashes = _class_of(found)
             first, second = sub_keys(minhashes(hashes, by))
             ids.append(key)
-            classes.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            classes.append(cls)
             sketches.append(first.tobytes() + second.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(classes, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "cls", "sketch"])
 
@@ -232,43 +239,110 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _collide(*held)
 
 
-def _blocks(table: pa.Table) -> pa.Table:
-    """Pairs among the texts of two blocks of one table key."""
-    docs, side = table.column("a").to_numpy(), table.column("block").to_numpy()
-    second = np.frombuffer(b"".join(table.column("second").to_pylist()), np.uint8).reshape(len(docs), -1)
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each table key of the texts of a frequent first sub-key."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            second = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
+            keys = _table_keys(batch.column(0).to_numpy(), second)
+            packed = pa.array([x.tobytes() for x in second], pa.binary()).take(pa.array(np.repeat(np.arange(n), keys.shape[1])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(1).to_numpy(), keys.shape[1])), pa.array(keys.ravel()), packed], names=["a", "key", "second"])
+
+
+def _block_pairs(docs: np.ndarray, side: np.ndarray, second: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Pairs among the texts of two blocks of one table key, or of one block."""
     i, j = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    x, y = np.repeat(i, len(j)), np.tile(j, len(i))
-    if low == high:
-        x, y = x[x < y], y[x < y]
-    pairs = _alike(docs, second, x, y)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    step = max(1, 1_000_000 // max(1, len(j)))
+    out = []
+    for at in range(0, len(i), step):
+        x, y = np.repeat(i[at : at + step], len(j)), np.tile(j, len(i[at : at + step]))
+        out.append(_alike(docs, second, x[x < y], y[x < y]) if low == high else _alike(docs, second, x, y))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (key, low, high): a batch and the rows of one meeting, at most two blocks, are held at a time."""
+    held: list[np.ndarray] | None = None
+
+    def met(parts: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        found = [_block_pairs(parts[0][a:b], parts[4][a:b], parts[5][a:b], int(parts[2][a]), int(parts[3][a])) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1]
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        parts = [batch.column(c).to_numpy() for c in ("a", "key", "low", "high", "block")]
+        parts.append(np.frombuffer(b"".join(batch.column("second").to_pylist()), np.uint8).reshape(n, -1))
+        if held is not None:
+            parts = [np.concatenate(x) for x in zip(held, parts, strict=True)]
+        new = (parts[1][1:] != parts[1][:-1]) | (parts[2][1:] != parts[2][:-1]) | (parts[3][1:] != parts[3][:-1])
+        starts = np.flatnonzero(np.r_[True, new])
+        yield met(parts, starts[:-1], starts[1:])  # the last meeting may go on in the next batch
+        held = [x[starts[-1] :] for x in parts]
+    if held is not None:
+        yield met(held, np.array([0]), np.array([len(held[0])]))
 
 
 def _large_keys(over: DataFrame) -> DataFrame:
-    size = over.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    placed = over.join(size, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    """Pairs among texts (key, a, second) of one table key, whatever its size."""
+    large = keep(over.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > META).select("key", F.ceil(F.col("n") / META).cast("int").alias("blocks")), "large-keys")
+    few = large.count() <= BROADCAST_KEYS  # there are at most a META-th as many as rows
+    placed = over.join(F.broadcast(large) if few else large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", "a", "second", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return met.groupBy("key", "low", "high").applyInArrow(_blocks, "a long, b long")
+    return met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_blocks, "a long, b long")
+
+
+def _frequent(one: DataFrame) -> DataFrame:
+    """First sub-keys (bucket) of more than BUCKET texts, told from one in HOT_SAMPLE of them.
+
+    A key that the sample misses is found later, in its task: this decides the way, not the result.
+    """
+    sample = one.where(F.pmod(F.xxhash64("cls"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_spread, "bucket long, doc long, second binary")
+    count = sample.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return keep(count.where(F.col("n") * HOT_SAMPLE >= BUCKET / 2).orderBy(F.desc("n")).limit(HOT_KEYS).select("bucket"), "frequent")
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of class keys, a < b, that collide in a table and look similar enough."""
     one = sketches.groupBy("cls").agg(F.first("sketch").alias("sketch"))
     spread = one.mapInArrow(_spread, "bucket long, doc long, second binary")
+    frequent, opened = _frequent(one), None
+    if not frequent.isEmpty():
+        named = F.broadcast(frequent)  # HOT_KEYS numbers at most
+        opened = spread.join(named, "bucket", "left_semi").mapInArrow(_opened, "a long, key long, second binary")
+        spread = spread.join(named, "bucket", "left_anti")
     met = keep(spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long, key long, second binary"), "collisions")
     pairs = met.where("b is not null").select("a", "b")
-    over = met.where("b is null")
+    over = met.where("b is null").select("a", "key", "second")
+    over = over if opened is None else over.unionByName(opened)
     if not over.isEmpty():
         pairs = pairs.unionByName(_large_keys(over))
     return pairs.distinct()
 
 
+def _class_of(found: set[str]) -> tuple[bytes, np.ndarray]:
+    """The digest of a set of words, and their sorted hashes."""
+    hashes = np.fromiter(map(_word_hash, found), np.uint64, len(found))
+    hashes.sort()
+    return xxhash.xxh3_128_digest(hashes.tobytes()), hashes
+
+
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the texts that are of the class they are fetched for: an id may have several texts."""
     for batch in batches:
-        found = [sorted(words(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.string()))], names=["key", "words"])
+        docs, reps, sets = [], [], []
+        for doc, rep, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "rep", "text")), strict=True):
+            found = words(text)
+            if found and int.from_bytes(_class_of(found)[0][:8], "little", signed=True) == doc:
+                docs.append(doc)
+                reps.append(rep)
+                sets.append(sorted(found))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(reps, pa.string()), pa.array(sets, pa.list_(pa.string()))], names=["doc", "rep", "words"])
 
 
 class NearDuplicates:
@@ -298,10 +372,8 @@ class NearDuplicates:
         wanted = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         needed = keyed.join(wanted, "doc").select("doc", "rep")
         # The words again, of those texts only that are in a candidate pair.
-        text_of = texts.join(needed, texts.id == needed.rep).select(F.struct("doc", "rep").alias("key"), "text")
-        sets = text_of.select(F.concat_ws("|", F.col("key.doc").cast("string"), "key.rep").alias("key"), "text").mapInArrow(_word_sets, "key string, words array<string>")
-        sets = sets.dropDuplicates(["key"]).select(F.substring_index("key", "|", 1).cast("long").alias("doc"), F.expr("substring(key, instr(key, '|') + 1)").alias("rep"), "words")
-        sets = keep(sets, "word-sets")
+        text_of = texts.join(needed, texts.id == needed.rep).select("doc", "rep", "text")
+        sets = keep(text_of.mapInArrow(_word_sets, "doc long, rep string, words array<string>").dropDuplicates(["doc"]), "word-sets")
         left = sets.select(F.col("doc").alias("a"), F.col("rep").alias("x"), F.col("words").alias("wx"))
         right = sets.select(F.col("doc").alias("b"), F.col("rep").alias("y"), F.col("words").alias("wy"))
         both = found.join(left, "a").join(right, "b")
@@ -380,6 +452,8 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     logarithm of the longest path; not converging within ``most_rounds`` raises.
     """
     edges = keep(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+    before = state(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -387,10 +461,11 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))  # from larger to smaller
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u")).where("u != v").select("u", "v").distinct()
-        after = keep(small, "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+        edges = keep(small, "edges")
+        after = state(edges)
+        if after == before:  # a set of edges by its size and two digests
             break
-        edges = after
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = edges.select(F.col("v").alias("u"), F.col("u").alias("root"))

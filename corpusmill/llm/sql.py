@@ -14,10 +14,31 @@ n AS (SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM usable WHERE list_in
 pairs AS (SELECT a.collection, a.chunk_id AS a, b.chunk_id AS b, round(list_inner_product(a.v, b.v) / (a.norm * b.norm), 12) AS s FROM n a JOIN n b ON a.collection = b.collection AND a.chunk_id <> b.chunk_id)"""
 
 
+def _parent(name: str) -> str:
+    return f"CASE WHEN regexp_matches({name}, '^.+/[^/]+$') THEN regexp_extract({name}, '^(.+)/[^/]+$', 1) ELSE {name} END"
+
+
+_BARE = r"""regexp_replace(regexp_replace(text, '(?i)</?(?:a|abbr|b|big|code|em|font|i|ins|mark|s|small|span|strong|sub|sup|tt|u|wbr)\b[^<>]*>', '', 'g'), '(?is)<!--.*?-->|</?[a-z!?][^<>]*>', ' ', 'g')"""
+for _name, _sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("szlig", "ss"), ("eacute", "é"), ("egrave", "è"), ("ntilde", "ñ"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_sign}')"
+P2_TEXT = rf"""replace(lower(strip_accents(regexp_replace({_BARE}, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g'))), 'ß', 'ss')"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = f"len(list_filter(string_split_regex(text, '[{_SPACE}]+'), lambda x: x <> ''))"
     return {
         "p1_found": P1_RANKED + " SELECT query_id, chunk_id FROM ranked WHERE place > 3",
+        "p1_nested": P1_RANKED + f""",
+f AS (SELECT *, {_parent("name")} AS folder FROM ranked), w AS (SELECT *, {_parent("folder")} AS workspace, CASE WHEN place > 3 THEN 0 END AS d FROM f),
+b AS (SELECT * REPLACE (CASE WHEN d IS NULL AND row_number() OVER (PARTITION BY query_id, folder, d IS NULL ORDER BY score DESC NULLS LAST, chunk_id) > 5 THEN 1 ELSE d END AS d), count(*) OVER (PARTITION BY query_id) AS n FROM w)
+SELECT query_id, chunk_id, name AS source_file, CASE WHEN d IS NULL AND row_number() OVER (PARTITION BY query_id, workspace, d IS NULL ORDER BY score DESC NULLS LAST, chunk_id) > greatest(floor(n * 0.4), 1) THEN 2 ELSE d END AS dropped_by FROM b""",
+        # Words by plain means; pairs that count lie well above 60 %, others clearly below.
+        "p2_found": f"""WITH t AS (SELECT DISTINCT id, {P2_TEXT} AS text FROM chunks WHERE id IS NOT NULL),
+w AS (SELECT DISTINCT id, text, unnest(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM t),
+n AS (SELECT id, text, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT row_number() OVER (ORDER BY id, text) AS k, * FROM n), wk AS (SELECT k, n, word FROM w JOIN k USING (id, text)),
+met AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM wk a JOIN wk b ON a.word = b.word AND a.k < b.k AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY ALL)
+SELECT DISTINCT least(x.id, y.id) AS chunk_id_a, greatest(x.id, y.id) AS chunk_id_b FROM met JOIN k x ON x.k = a JOIN k y ON y.k = b WHERE c >= 0.6 * (x.n + y.n - c) AND x.id <> y.id""",
         "p1_dominance": P1_RANKED + " SELECT name AS source_file, count(*) AS hits, count(*) FILTER (place > 3) AS dropped FROM ranked GROUP BY name",
         # At sf0.01 every cell is visited, so that the answer is exact there.
         "p4_neighbours": P4_PAIRS.replace("AND a.chunk_id <> b.chunk_id", "AND a.chunk_id <> b.chunk_id AND split_part(a.chunk_id, ':', 2)::INT % 20 = 0") + """,

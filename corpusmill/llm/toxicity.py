@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.mixing import source_key
-from corpusmill.tables import keep, read
+from corpusmill.tables import keep, read, rows_at, stored
 
 SAMPLE = {"toxic": 4000, "ordinary": 8000}  # reviewed documents the models are fitted on, at most
 DISCOUNT = 0.75
@@ -31,13 +31,17 @@ LEAST_WORDS = 8  # shorter passages are averaged as if so long
 BACKOFF = 5.0  # weight of the lower order, in words, beside the discounted ones
 COMMON = 0.7  # part of the lower order that all documents give
 MOST = 4.0  # what one word may say
-LEAST_DOCS = 3
+LEAST_DOCS = 3  # toxic documents that share a pair with which the fit begins; of few documents, fewer (one more for each PER_DOC)
+PER_DOC = 25
+USUAL = 0.7  # a threshold that counts as much as USUAL_DOCS toxic documents beside what the labels say
+USUAL_DOCS = 20
 CHOSEN = 0.6
 MORE_OFTEN = 0.9
 LEAST_SCORE = 0.5  # a threshold is not set lower
 TOXIC = ("abusive", "hateful", "sexual")
 PARTS = 3  # of the sample; the threshold comes from documents the models have not seen
 PLATEAU = 0.01
+PIECE = 64 << 20  # bytes of a model in a row
 
 # Letters of other scripts that pass for Latin ones, and digits and signs that pass for letters.
 _LOOKALIKES = str.maketrans(dict(zip(map(chr, (0x430, 0x432, 0x435, 0x43a, 0x43c, 0x43d, 0x43e, 0x440, 0x441, 0x442, 0x443, 0x445, 0x456, 0x458, 0x455, 0x501, 0x51b, 0x51d, 0x4bb, 0x410, 0x412, 0x415, 0x41a, 0x41c, 0x41d, 0x41e, 0x420, 0x421, 0x422, 0x423, 0x425, 0x406, 0x408, 0x405, 0x3bf, 0x3b1, 0x3b5, 0x3b9, 0x3ba, 0x3bd, 0x3c1, 0x3c4, 0x3c5, 0x3c7, 0x39f, 0x391, 0x395, 0x399, 0x131, 0xdf, 0xf8, 0x142)), "abekmhopctyxijsdqwhabekmhopctyxijsoaeikvptuxoaeiisol", strict=True)))
@@ -247,7 +251,8 @@ def fit(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Shared) ->
     A passage that clean documents hold as often, such as a house rule, is never taken.
     """
     clean = np.concatenate([_bigrams(w) for w in ordinary]) if ordinary else np.zeros(0, np.int64)
-    model = Model.of(KneserNey(_frequent(toxic, LEAST_DOCS), shared), KneserNey(clean, shared), shared)
+    least = min(LEAST_DOCS, 1 + len(toxic) // PER_DOC)
+    model = Model.of(KneserNey(_frequent(toxic, least), shared), KneserNey(clean, shared), shared)
     share = Model.of(KneserNey(_frequent(toxic, 1), shared), KneserNey(clean, shared), shared)
     for _ in range(TURNS):
         bad, good = [], [clean]
@@ -274,7 +279,10 @@ def worst(model: Model, documents: list[np.ndarray]) -> np.ndarray:
 
 
 def threshold(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Shared) -> float:
-    """The score that tells the classes apart best on documents left out of the fit, with few false alarms."""
+    """The score that tells the classes apart best on documents left out of the fit, with few false alarms.
+
+    The fewer toxic documents there are, the less their say beside the usual threshold.
+    """
     bad, good = [], []
     for part in range(PARTS):
         model = fit([w for i, w in enumerate(toxic) if i % PARTS != part], [w for i, w in enumerate(ordinary) if i % PARTS != part], shared)
@@ -287,10 +295,11 @@ def threshold(toxic: list[np.ndarray], ordinary: list[np.ndarray], shared: Share
     steps = np.unique(values[values > 0.1])
     alarms, hits = len(wrong) - np.searchsorted(wrong, steps), len(right) - np.searchsorted(right, steps)
     f1 = 2 * hits / np.maximum(1, len(right) + hits + alarms)
+    usual = lambda found: (len(bad) * found + USUAL_DOCS * USUAL) / (len(bad) + USUAL_DOCS)
     if not len(steps):
-        return 1.0
+        return usual(1.0)
     level = steps[f1 >= f1.max() - PLATEAU]  # what does as well; rather high in it, as toxic texts are rarer than in the sample
-    return max(LEAST_SCORE, float(0.4 * level.min() + 0.6 * level.max()))
+    return usual(max(LEAST_SCORE, float(0.4 * level.min() + 0.6 * level.max())))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +344,15 @@ def _trained(table: pa.Table) -> pa.Table:
     toxic, ordinary = ([w for w, x in zip(words, label, strict=True) if x == side] for side in (1, 0))
     model = fit(toxic, ordinary, shared)
     model.threshold = threshold(toxic, ordinary, shared)
-    return pa.table({"model": pa.array([model.to_bytes()], pa.binary())})
+    raw = model.to_bytes()
+    pieces = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+    return pa.table({"part": pa.array(range(len(pieces)), pa.int32()), "model": pa.array(pieces, pa.binary())})
+
+
+@lru_cache(maxsize=1)
+def _model(path: str) -> Model:
+    """The model that a worker scores with, read once."""
+    return Model.from_bytes(b"".join(rows_at(path).sort_by("part").column("model").to_pylist()))
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -349,11 +366,11 @@ def verdicts(labels: DataFrame) -> DataFrame:
     return votes.select("doc_id", side.alias("n")).where("n is not null and doc_id is not null")
 
 
-def train(coded: DataFrame, labels: DataFrame) -> Model:
-    """Fitted in one task on at most SAMPLE reviewed documents, chosen by hash; the lower order counts all documents.
+def train(coded: DataFrame, labels: DataFrame) -> str:
+    """The path of a model fitted in one task on at most SAMPLE reviewed documents, chosen by hash; the lower order counts all documents.
 
     Of those counts the task gets the pairs, contexts and words of the sample. The model, of
-    the sample's size, is what passes the driver.
+    the sample's size, goes to the shared folder; the driver never has it.
     """
     reviewed = keep(verdicts(labels), "verdicts")
     number = {r.n: r.k for r in reviewed.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
@@ -371,8 +388,7 @@ def train(coded: DataFrame, labels: DataFrame) -> Model:
     rows = rows.unionByName(pairs.join(own, "pair", "left_semi").select(*one(1, F.col("pair"), F.col("n"))))
     rows = rows.unionByName(contexts.select(*one(2, F.col("v"), F.col("n")))).unionByName(endings.select(*one(3, F.col("w"), F.col("n"))))
     rows = rows.unionByName(pairs.agg(F.count(F.lit(1)).alias("n")).select(*one(4, F.lit(0).cast("long"), F.col("n"))))
-    made = rows.groupBy().applyInArrow(_trained, "model binary").collect()
-    return Model.from_bytes(bytes(made[0].model))
+    return stored(rows.groupBy().applyInArrow(_trained, "part int, model binary"), "model")
 
 
 def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -383,9 +399,10 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     are scored, each by its worst passage. Without labels nothing is flagged.
     """
     coded = keep(documents.select("doc_id", "source", "text").mapInArrow(_coded, "doc_id long, source string, words binary"), "coded")
-    model = train(coded, labels)
+    path = train(coded, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(path)
         for batch in batches:
             found = np.round(worst(model, _words(batch.column("words"))), 6)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(found), pa.array(found >= model.threshold)], names=["doc_id", "source", "score", "flagged"])

@@ -63,13 +63,35 @@ def test_large_buckets_lose_nothing(spark, monkeypatch, bucket, block):
     one = sketches.groupBy("cls").agg(neardup.F.first("sketch").alias("sketch"))
     met = one.mapInArrow(neardup._spread, "bucket long, doc long, second binary").repartition(2, "bucket").sortWithinPartitions("bucket").mapInArrow(limited, "a long, b long, key long, second binary")
     met = neardup.keep(met, "m")
-    over = met.where("b is null")
+    over = met.where("b is null").select("a", "key", "second")
     assert not over.isEmpty()
     pairs = met.where("b is not null").select("a", "b").unionByName(neardup._large_keys(over)).distinct()
     assert pairs.count() >= len(want)
     assert pairs.exceptAll(neardup.candidates(sketches)).count() == 0 and neardup.candidates(sketches).exceptAll(pairs).count() == 0
 
 
+@pytest.mark.parametrize("meta", [3, 4096])
+def test_frequent_sub_keys_are_spread_before_the_shuffle(spark, monkeypatch, meta):
+    rows = texts(seed=5, clusters=3, size=12)
+    df = spark.createDataFrame(rows, "id string, text string")
+    sketches = neardup.keep(df.mapInArrow(neardup._sketch, "id string, cls binary, sketch binary"), "s")
+    want = neardup.candidates(sketches)
+    monkeypatch.setattr(neardup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(neardup, "BUCKET", 8)
+    monkeypatch.setattr(neardup, "META", meta)
+    one = sketches.groupBy("cls").agg(neardup.F.first("sketch").alias("sketch"))
+    assert not neardup._frequent(one).isEmpty()
+    got = neardup.candidates(sketches)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_an_id_with_two_texts(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [("a", base), ("a", "quite other words of this same id in a table"), ("b", base + " eleven"), ("c", "quite other words of this same id in a list")]
+    links = {(r.rep_a, r.rep_b): round(r.similarity, 4) for r in NearDuplicates(spark.createDataFrame(rows, "id string, text string")).links.collect()}
+    assert links == {("a", "b"): round(10 / 11, 4), ("a", "c"): round(9 / 11, 4)}
+
+
 def test_many_copies_keep_every_link(spark):
     rows = [(f"a{i}", "one two three four five six") for i in range(10)] + [("b", "one two three four five seven"), ("z", "other words here")]
     nd = NearDuplicates(spark.createDataFrame(rows, "id string, text string"))

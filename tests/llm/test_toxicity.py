@@ -54,6 +54,15 @@ def test_held_out_documents(spark):
     assert len(got) == len(rows) and len(found & bad) >= 0.9 * len(bad) and len(found - bad) <= 0.1 * len(bad)
 
 
+def test_few_labels(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    docs, marks = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "review_labels"))
+    found = {r.doc_id for r in score(docs, marks).where("flagged").collect()}
+    sides = {r.doc_id: r.n for r in verdicts(marks).collect()}
+    assert sum(sides.values()) < 10 and 5 < len(found) < 40  # few people's verdicts, more found
+    assert not [i for i in found if sides.get(i) == 0]
+
+
 @pytest.mark.parametrize("labelled", [True, False])
 def test_empty_and_unlabelled(spark, labelled):
     docs = spark.createDataFrame([(1, None, None), (2, "", "a"), (3, "some text", "a"), (4, "w " * 60_000, "a")], "doc_id long, text string, source string")
