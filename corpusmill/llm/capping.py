@@ -2,7 +2,7 @@
 
 Nested caps (a source inside a folder inside a workspace) form a laminar matroid: greedily
 keeping the best records inside the innermost group, then the next, keeps the best set there is.
-Each level is one ranked window pass over what the level before kept.
+Each level is one ranking over what the level before kept.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.uris import file_name, parent
-from corpusmill.tables import read
+from corpusmill.tables import keep, read
 
 SALTS = 32
 
@@ -28,38 +28,73 @@ class Cap:
     within: tuple[str, ...] = ()
 
 
+def _same(columns: list[str], other: str) -> list[Column]:
+    return [F.col(c).eqNullSafe(F.col(f"{other}{i}")) for i, c in enumerate(columns)]
+
+
+def _renamed(columns: list[str], other: str) -> list[Column]:
+    return [F.col(c).alias(f"{other}{i}") for i, c in enumerate(columns)]
+
+
+def _best_by_count(df: DataFrame, by: list[str], order: list[Column], limit: int, salts: int) -> DataFrame:
+    """``df`` with ``__cap_over``: whether a record still alive is beyond the first ``limit`` of its group.
+
+    A group is first ranked in parts: a record beyond the limit within its part is beyond it in
+    the whole. Only the best of each part meet in the second ranking, salts * limit records of a
+    group however large it is.
+    """
+    keys, alive = [F.col(c) for c in by], F.col("dropped_by").isNull()
+    local = Window.partitionBy(*keys, "__cap_part", alive).orderBy(*order)
+    out = df.withColumn("__cap_place", F.when(alive, F.row_number().over(local)))
+    near = F.col("__cap_place") <= limit
+    whole = Window.partitionBy(*keys, F.when(near, -1).otherwise(F.col("__cap_part"))).orderBy(*order)
+    out = out.withColumn("__cap_place", F.when(near, F.row_number().over(whole)).otherwise(F.col("__cap_place")))
+    return out.withColumn("__cap_over", alive & (F.col("__cap_place") > limit)).drop("__cap_place")
+
+
+def _all_places(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with the place of every row in its group, in ``__cap_place``, whatever the group's size.
+
+    Rows are put in ranges of (group, order), so a large group lies in many; a row's place is the
+    number of its group's rows in earlier ranges and its place in its own.
+    """
+    keys = [F.col(c) for c in by]
+    ranged = keep(df.repartitionByRange(*keys, *order).withColumn("__cap_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*keys, "__cap_range").agg(F.count(F.lit(1)).alias("__cap_in"))
+    before = F.sum("__cap_in").over(Window.partitionBy(*keys).orderBy("__cap_range")) - F.col("__cap_in")
+    sizes = sizes.withColumn("__cap_before", before).select(*_renamed(by, "__cap_g"), F.col("__cap_range").alias("__cap_r"), "__cap_before")
+    own = F.row_number().over(Window.partitionBy(*keys, "__cap_range").orderBy(*order))
+    placed = ranged.withColumn("__cap_place", own).join(sizes, [*_same(by, "__cap_g"), F.col("__cap_range") == F.col("__cap_r")])
+    return placed.withColumn("__cap_place", F.col("__cap_place") + F.col("__cap_before")).drop("__cap_range", "__cap_r", "__cap_before", *(f"__cap_g{i}" for i in range(len(by))))
+
+
 def nested_caps(df: DataFrame, caps: list[Cap], order: list[Column], spread: Column, salts: int = SALTS) -> DataFrame:
     """``df`` with ``dropped_by``: null for a kept record, else the number (from 0) of the cap that drops it.
 
     ``caps`` go from the innermost group outwards. ``order`` says which records stay (best
     first) and should decide all ties; ``spread`` is a stable value that spreads one group's
-    records. A group is first ranked in ``salts`` parts: a record beyond the cap within its part
-    is beyond it in the whole. Only the best of each part meet in the second ranking, so no task
-    sees more than salts * cap records of a group however large it is. With a share the cap is
-    floor(share * records of ``within``) and at least 1; the parts then hold back less.
-    Null group values are a group of their own; an empty table gives an empty result.
+    records. With a count alone groups are ranked in ``salts`` parts first; with a share, which
+    grows with the group, in ranges of the order. Either way no task sees a whole large group.
+    With a share the cap is floor(share * records of ``within``, dropped ones included) and at
+    least 1. Null group values are a group of their own; an empty table gives an empty result.
     """
     out = df.withColumn("dropped_by", F.lit(None).cast("int")).withColumn("__cap_part", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     for number, cap in enumerate(caps):
-        limit = F.lit(cap.count if cap.count is not None else 2**31 - 1)
-        if cap.share is not None:
-            if cap.within:
-                size = out.groupBy(*cap.within).agg(F.count(F.lit(1)).alias("__cap_n"))
-                size = size.select(*(F.col(c).alias(f"__cap_w{i}") for i, c in enumerate(cap.within)), "__cap_n")
-                same = [F.col(c).eqNullSafe(F.col(f"__cap_w{i}")) for i, c in enumerate(cap.within)]
-                out = out.join(size, same).drop(*(f"__cap_w{i}" for i in range(len(same))))
-            else:
-                out = out.withColumn("__cap_n", F.lit(df.count()))
-            limit = F.least(limit, F.greatest(F.floor(F.col("__cap_n") * cap.share).cast("int"), F.lit(1)))
-        out = out.withColumn("__cap_limit", limit)
-        alive = F.col("dropped_by").isNull()
-        by = [F.col(c) for c in cap.by]
-        local = Window.partitionBy(*by, "__cap_part", alive).orderBy(*order)
-        out = out.withColumn("__cap_place", F.when(alive, F.row_number().over(local)))
-        near = F.col("__cap_place") <= F.col("__cap_limit")
-        whole = Window.partitionBy(*by, F.when(near, -1).otherwise(F.col("__cap_part"))).orderBy(*order)
-        out = out.withColumn("__cap_place", F.when(near, F.row_number().over(whole)).otherwise(F.col("__cap_place")))
-        out = out.withColumn("dropped_by", F.when(alive & (F.col("__cap_place") > F.col("__cap_limit")), number).otherwise(F.col("dropped_by"))).drop("__cap_place", "__cap_limit", "__cap_n")
+        by, within = list(cap.by), list(cap.within)
+        if cap.share is None:
+            out = _best_by_count(out, by, order, cap.count if cap.count is not None else 2**31 - 1, salts)
+        else:
+            out = keep(out, "capped")
+            sizes = out.groupBy(*within).agg(F.count(F.lit(1)).alias("__cap_n")) if within else out.agg(F.count(F.lit(1)).alias("__cap_n"))
+            # Met part by part, so that a large group's rows are not joined in one task.
+            sizes = sizes.select(*_renamed(within, "__cap_w"), "__cap_n", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__cap_p"))
+            placed = _all_places(out.where("dropped_by is null"), by, order)
+            placed = placed.join(sizes, [*_same(within, "__cap_w"), F.col("__cap_part") == F.col("__cap_p")]).drop("__cap_p", *(f"__cap_w{i}" for i in range(len(within))))
+            share = F.greatest(F.floor(F.col("__cap_n") * cap.share).cast("int"), F.lit(1))
+            over = F.col("__cap_place") > (share if cap.count is None else F.least(F.lit(cap.count), share))
+            placed = placed.withColumn("__cap_over", over).drop("__cap_place", "__cap_n")
+            out = placed.unionByName(out.where("dropped_by is not null").withColumn("__cap_over", F.lit(False)))
+        out = out.withColumn("dropped_by", F.when(F.col("__cap_over"), number).otherwise(F.col("dropped_by"))).drop("__cap_over")
     return out.drop("__cap_part")
 
 

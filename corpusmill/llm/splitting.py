@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokens import VOCABULARY, encoding
+from corpusmill.llm.tokens import VOCABULARY, encoding, ship
 from corpusmill.tables import read
 
 WORDS = "words"
@@ -190,6 +190,7 @@ def split_oversized(chunks: DataFrame, key: str = "id", carry: tuple[str, ...] =
     sized = chunks.withColumn("_over", over)
     small = sized.where(~F.col("_over")).select(key, *carry, F.lit(0).alias("piece_no"), F.lit(1).alias("pieces"), F.col("text").alias("piece_text"), word_count(F.col("text")).alias("words"), F.lit(0).alias("shared_words"))
     large = sized.where("_over").select(F.to_json(F.struct(F.col(key).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))).alias("_key"), "text", F.col("size").cast("int").alias("size"), F.coalesce(F.col("overlap").cast("int"), F.lit(0)).alias("overlap"), unit.alias("unit"))
+    ship(chunks.sparkSession, path)
     made = large.mapInArrow(_pieces(path), "_key string, piece_no int, pieces int, piece_text string, words int, shared_words int")
     back = F.from_json("_key", "k {}, {}".format(chunks.schema[key].dataType.simpleString(), ", ".join(f"c{i} {chunks.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))) if carry else f"k {chunks.schema[key].dataType.simpleString()}")
     made = made.withColumn("_b", back).select(F.col("_b.k").alias(key), *(F.col(f"_b.c{i}").alias(c) for i, c in enumerate(carry)), "piece_no", "pieces", "piece_text", "words", "shared_words")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans.sql import _SPACE, HITS, VECTORS, name_of  # noqa: F401
+from corpusmill.plans.sql import _SPACE, name_of
 
 P1_RANKED = f"""WITH last AS (SELECT query_id, chunk_id, unnest(r) FROM (SELECT query_id, chunk_id, arg_max({{'score': score, 'source': source}}, logged_at) AS r FROM hits GROUP BY ALL)),
 docs AS (SELECT id, any_value({name_of("source_uri")}) AS file FROM (SELECT id, source_uri FROM source_docs UNION ALL SELECT id, source_uri FROM shared_docs) GROUP BY id),

@@ -46,3 +46,24 @@ def test_share_of_a_list(spark):
 
 def test_empty_table(spark):
     assert nested_caps(spark.createDataFrame([], SCHEMA), [Cap(("q",), 1)], best_first("score", "id"), F.col("id")).count() == 0
+
+
+def test_share_of_a_group_that_lies_in_many_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, None]), rng.choice(["hot"] * 8 + ["a", None]), "x", f"c{i:05d}", rng.choice([None, float("nan"), *(j / 40 for j in range(40))]), 7, "p", "old") for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    caps = [Cap(("q", "source"), 700), Cap(("q", "source"), share=0.1, within=("q",)), Cap(("q",), share=0.12)]
+    out = nested_caps(df, caps, best_first("score", "id"), F.col("id"), salts=4)
+    got = {r.id: r.dropped_by for r in out.where("dropped_by is not null").collect()}
+
+    def key(r):
+        bad = r[4] is None or r[4] != r[4]
+        return (bad, 0 if bad else -r[4], r[3])
+
+    dropped = {}
+    for number, (cols, limit) in enumerate([((0, 1), lambda q: 700), ((0, 1), lambda q: int(0.1 * sum(r[0] == q for r in rows))), ((0,), lambda q: int(0.12 * len(rows)))]):
+        groups = {}
+        for r in sorted((r for r in rows if r[3] not in dropped), key=key):
+            groups.setdefault(tuple(r[c] for c in cols), []).append(r)
+        dropped |= {r[3]: number for k, g in groups.items() for r in g[limit(k[0]) :]}
+    assert got == dropped and out.count() == len(rows) and set(dropped.values()) == {0, 1, 2}
