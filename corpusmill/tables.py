@@ -11,6 +11,8 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,17 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Cuts the lineage, lets several later plans share one computation, and survives the loss
-    of any executor.
+    of any executor. The table stays as long as results may read it: see :func:`clear`.
     """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path = stored(df, label)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +54,20 @@ def stored(df: DataFrame, label: str) -> str:
     return path
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written; how many.
+
+    For when the results made so far have been written or collected: what is lazy still may
+    read them.
+    """
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def rows_at(path: str) -> pa.Table:
     """A table in the shared folder, read inside a task; for small ones only, such as a trained model."""
     local = re.match(r"^(?:file:/*)?(?=/)|^file:/+", path)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+from decimal import Decimal
 
 import pytest
 
@@ -37,3 +38,32 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return DATA
+
+
+@pytest.fixture(scope="session")
+def sql(sf):
+    """Rows of a statement that a second engine runs over the same tables, as :func:`told` gives them."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for file in os.listdir(sf):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM read_parquet('{sf}/{file}')")
+
+    def run(statement):
+        cursor = con.execute(statement)
+        return _told([c[0] for c in cursor.description], cursor.fetchall())
+
+    return run
+
+
+def _told(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    plain = lambda x: repr(round(float(x), 9)) if isinstance(x, float | Decimal) else repr(x)
+    return [columns[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
+
+
+@pytest.fixture(scope="session")
+def told():
+    """Columns by name and sorted rows of a DataFrame."""
+    return lambda df: _told(df.columns, [tuple(r) for r in df.collect()])

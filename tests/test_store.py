@@ -13,9 +13,10 @@ from corpusmill.errors import GateError, InvariantError, NotFound, UsageError
 from corpusmill.plans import answer, ports
 from corpusmill.plans.evaluation import evaluate_file
 from corpusmill.plans.resolve import RetrieveOptions, resolve, validate
-from corpusmill.sources import evalset, extract, files
+from corpusmill.sources import evalset, extract, files, render
 from corpusmill.store import Chunker, Store
 from corpusmill.streaming.ingest import ingest_stream
+from corpusmill.tables import clear, keep, rows_at, stored
 
 EMBED = ports.HashingEmbedder(32)
 
@@ -238,3 +239,24 @@ def test_walk_below_the_root(spark, folder):
     names = ["/a/b.MD", "/a.b/c", "/x.tar.gz", "/.hidden", "/d.pdf", "/e.", "/f.unknownext"]
     rows = spark.createDataFrame([(n,) for n in names], "p string").select("p", files.content_type_of(F.col("p")).alias("t")).collect()
     assert {r.p: r.t for r in rows} == {n: files.content_type(n) for n in names}
+
+
+def test_markdown(spark):
+    rows = [("q", 2, "file:///a/y.md", 3, 0.25, 0.75, "two"), ("q", 1, "file:///a/x.md", 0, 0.5, None, "one\n"), ("r", 1, None, None, None, None, None)]
+    hits = spark.createDataFrame(rows, "query_id string, pos int, source string, seq int, score double, rerank_score double, text string")
+    got = {r.query_id: r.markdown for r in render.hits_markdown(hits).collect()}
+    dot = chr(0xB7)
+    assert got["q"] == f"**[1]**  x.md#0  {dot}  `0.5000`\n\none\n\n\n---\n\n**[2]**  y.md#3  {dot}  sim=`0.2500` rerank=`0.7500`\n\ntwo"
+    assert got["r"] == f"**[1]**  #?  {dot}  `0.0000`"
+    answers = spark.createDataFrame([("a", "Yes [1].", ["x.md", "y.md"]), ("b", "No.", [])], "answer_id string, text string, labels array<string>")
+    assert {r.answer_id: r.markdown for r in render.sources_markdown(answers).collect()} == {"a": "Yes [1].\n\n## Sources\n\n1. x.md\n2. y.md\n", "b": "No."}
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    clear(spark)
+    assert keep(spark.range(3), "t").count() == 3
+    path = stored(spark.range(5), "t")
+    assert rows_at(path).num_rows == 5 and rows_at("/" + path.removeprefix("file:").lstrip("/")).num_rows == 5
+    assert clear(spark) == 2 and clear(spark) == 0
+    with pytest.raises(FileNotFoundError):
+        rows_at(path)
