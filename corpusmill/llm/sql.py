@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from corpusmill.plans.sql import _SPACE, name_of
 
 P1_RANKED = f"""WITH last AS (SELECT query_id, chunk_id, unnest(r) FROM (SELECT query_id, chunk_id, arg_max({{'score': score, 'source': source}}, logged_at) AS r FROM hits GROUP BY ALL)),
@@ -19,9 +21,20 @@ def _parent(name: str) -> str:
 
 
 _BARE = r"""regexp_replace(regexp_replace(text, '(?i)</?(?:a|abbr|b|big|code|em|font|i|ins|mark|s|small|span|strong|sub|sup|tt|u|wbr)\b[^<>]*>', '', 'g'), '(?is)<!--.*?-->|</?[a-z!?][^<>]*>', ' ', 'g')"""
-for _name, _sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("szlig", "ss"), ("eacute", "é"), ("egrave", "è"), ("ntilde", "ñ"), ("amp", "&")):
+_ENTITIES = [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("auml", "ä"), ("ouml", "ö"), ("uuml", "ü"), ("szlig", "ss"), ("eacute", "é"), ("egrave", "è"), ("ntilde", "ñ")]
+for _name, _sign in [*_ENTITIES, *((f"#{ord(c)}", c) for c in "äöüßÄÖÜáéíóúñàâçèêëîïôûùÁÉÍÓÚÑÀÂÇÈÊÎÔ¿¡"), ("amp", "&")]:
     _BARE = f"replace({_BARE}, '&{_name};', '{_sign}')"
-P2_TEXT = rf"""replace(lower(strip_accents(regexp_replace({_BARE}, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g'))), 'ß', 'ss')"""
+# Full-width digits and letters.
+_WIDE = "".join(chr(0xFEE0 + ord(c)) for c in string.digits + string.ascii_letters)
+_PLAIN_LETTERS = string.digits + string.ascii_letters
+P2_TEXT = rf"""replace(lower(strip_accents(translate(regexp_replace({_BARE}, '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}]', '', 'g'), '{_WIDE}', '{_PLAIN_LETTERS}'))), 'ß', 'ss')"""
+
+# Words by plain means; pairs that count lie well above 60 %, others clearly below.
+P2_LINKS = f"""WITH t AS (SELECT DISTINCT id, {P2_TEXT} AS text FROM chunks WHERE id IS NOT NULL),
+w AS (SELECT DISTINCT id, text, unnest(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM t),
+n AS (SELECT id, text, count(*) AS n FROM w GROUP BY ALL),
+k AS (SELECT row_number() OVER (ORDER BY id, text) AS k, * FROM n), wk AS (SELECT k, n, word FROM w JOIN k USING (id, text)),
+met AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM wk a JOIN wk b ON a.word = b.word AND a.k < b.k AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY ALL)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -32,13 +45,17 @@ def oracle_sql() -> dict[str, str]:
 f AS (SELECT *, {_parent("name")} AS folder FROM ranked), w AS (SELECT *, {_parent("folder")} AS workspace, CASE WHEN place > 3 THEN 0 END AS d FROM f),
 b AS (SELECT * REPLACE (CASE WHEN d IS NULL AND row_number() OVER (PARTITION BY query_id, folder, d IS NULL ORDER BY score DESC NULLS LAST, chunk_id) > 5 THEN 1 ELSE d END AS d), count(*) OVER (PARTITION BY query_id) AS n FROM w)
 SELECT query_id, chunk_id, name AS source_file, CASE WHEN d IS NULL AND row_number() OVER (PARTITION BY query_id, workspace, d IS NULL ORDER BY score DESC NULLS LAST, chunk_id) > greatest(floor(n * 0.4), 1) THEN 2 ELSE d END AS dropped_by FROM b""",
-        # Words by plain means; pairs that count lie well above 60 %, others clearly below.
-        "p2_found": f"""WITH t AS (SELECT DISTINCT id, {P2_TEXT} AS text FROM chunks WHERE id IS NOT NULL),
-w AS (SELECT DISTINCT id, text, unnest(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS word FROM t),
-n AS (SELECT id, text, count(*) AS n FROM w GROUP BY ALL),
-k AS (SELECT row_number() OVER (ORDER BY id, text) AS k, * FROM n), wk AS (SELECT k, n, word FROM w JOIN k USING (id, text)),
-met AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM wk a JOIN wk b ON a.word = b.word AND a.k < b.k AND a.n >= 0.6 * b.n AND b.n >= 0.6 * a.n GROUP BY ALL)
-SELECT DISTINCT least(x.id, y.id) AS chunk_id_a, greatest(x.id, y.id) AS chunk_id_b FROM met JOIN k x ON x.k = a JOIN k y ON y.k = b WHERE c >= 0.6 * (x.n + y.n - c) AND x.id <> y.id""",
+        "p2_found": P2_LINKS + " SELECT DISTINCT least(x.id, y.id) AS chunk_id_a, greatest(x.id, y.id) AS chunk_id_b FROM met JOIN k x ON x.k = a JOIN k y ON y.k = b WHERE c >= 0.6 * (x.n + y.n - c) AND x.id <> y.id",
+        "p2_groups": P2_LINKS.replace("WITH t AS", "WITH RECURSIVE t AS") + """,
+sets AS (SELECT id, text, string_agg(word, ' ' ORDER BY word) AS cls FROM w GROUP BY ALL),
+classes AS (SELECT cls, min(id) AS rep, count(DISTINCT id) AS copies FROM sets GROUP BY cls),
+of AS (SELECT k.k, cls, rep, copies FROM k JOIN sets USING (id, text) JOIN classes USING (cls)),
+links AS (SELECT DISTINCT x.rep AS u, y.rep AS v, x.cls AS cu, y.cls AS cv FROM met JOIN k p ON p.k = a JOIN k q ON q.k = b JOIN of x ON x.k = a JOIN of y ON y.k = b WHERE c >= 0.6 * (p.n + q.n - c) AND x.cls <> y.cls),
+both_ways AS (SELECT u, v, cv FROM links UNION SELECT v, u, cu FROM links),
+reach(u, v) AS (SELECT DISTINCT u, v FROM both_ways UNION SELECT r.u, e.v FROM reach r JOIN both_ways e ON e.u = r.v),
+roots AS (SELECT u, least(u, min(v)) AS root FROM reach GROUP BY u),
+degree AS (SELECT u, count(DISTINCT least(u, v) || greatest(u, v)) AS n FROM both_ways GROUP BY u)
+SELECT DISTINCT s.id AS chunk_id, c.rep AS class_id, c.copies, coalesce(d.n, 0) AS links, coalesce(r.root, c.rep) AS group_id FROM sets s JOIN classes c USING (cls) LEFT JOIN roots r ON r.u = c.rep LEFT JOIN degree d ON d.u = c.rep""",
         "p1_dominance": P1_RANKED + " SELECT name AS source_file, count(*) AS hits, count(*) FILTER (place > 3) AS dropped FROM ranked GROUP BY name",
         # At sf0.01 every cell is visited, so that the answer is exact there.
         "p4_neighbours": P4_PAIRS.replace("AND a.chunk_id <> b.chunk_id", "AND a.chunk_id <> b.chunk_id AND split_part(a.chunk_id, ':', 2)::INT % 20 = 0") + """,
