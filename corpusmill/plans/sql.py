@@ -112,6 +112,26 @@ def _mmr(k: int, pool: int, weight: float) -> list[str]:
     return parts
 
 
+_BLANK = rf"{_SPACE}\x1c-\x1f"
+_SHORT = "etc vs cf al approx no fig eq inc ltd co corp dept mr mrs ms dr prof sr jr st"
+
+
+def _claims(rows: str) -> list[str]:
+    """Claims of ``rows`` (answer_id, text), in order: runs of characters, whether each ends its sentence, sentences without markers."""
+    ends_none = f"(regexp_full_match(w, '[A-Za-z](\\.[A-Za-z])*') OR list_contains(string_split('{_SHORT}', ' '), lower(trim(w, '.'))))"
+    return [
+        f"runs AS (SELECT answer_id, unnest(r) AS r, generate_subscripts(r, 1) AS i FROM (SELECT answer_id, regexp_extract_all(text, '[^{_BLANK}]+[{_BLANK}]*') AS r FROM {rows}))",
+        f"parts AS (SELECT answer_id, i, regexp_extract(r, '^[^{_BLANK}]+') AS run, regexp_extract(r, '[{_BLANK}]*$') AS space FROM runs)",
+        "bared AS (SELECT *, rtrim(run, '.!?') AS bare, space <> '' AND rtrim(run, '.!?') <> run AS closed, lag(run) OVER (PARTITION BY answer_id ORDER BY i) AS before FROM parts)",
+        f"first AS (SELECT *, CASE WHEN closed THEN NOT {ends_none} ELSE contains(space, chr(10)) END AS ends FROM (SELECT *, bare AS w FROM bared))",
+        # Bare punctuation looks at the run before it, unless that ended its sentence.
+        f"last AS (SELECT * REPLACE (CASE WHEN closed AND bare = '' THEN NOT {ends_none} ELSE ends END AS ends) FROM (SELECT * REPLACE (CASE WHEN lag(ends) OVER (PARTITION BY answer_id ORDER BY i) THEN '' ELSE coalesce(before, '') END AS w) FROM first))",
+        "numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY answer_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM last)",
+        f"said AS (SELECT answer_id, n, trim(regexp_replace(regexp_replace(string_agg(CASE WHEN ends AND closed THEN bare ELSE run END, ' ' ORDER BY i), '\\[[^\\[\\]]+\\]', '', 'g'), '[{_BLANK}]+', ' ', 'g'), ' ') AS claim FROM numbered GROUP BY answer_id, n)",
+        "claims AS (SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY n) - 1)::INT AS pos, claim FROM said WHERE regexp_matches(claim, '\\p{L}'))",
+    ]
+
+
 def oracle_sql() -> dict[str, str]:
     second = "second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM hits1)"
     expected = """best AS (SELECT query_id, split_part(arg_min(chunk_id, {'a': -score, 'b': chunk_id}), ':', 1) AS document_id FROM hits1 GROUP BY query_id),
@@ -159,6 +179,17 @@ SELECT snapshot_no, collection, CASE WHEN place = 1 THEN 'new' WHEN fingerprint
         "bm25_topk": _with(CHUNKS, QUESTIONS, _bm25(8), select="SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM lexical"),
         "bm25_filtered": _with(CHUNKS, QUESTIONS, _bm25(8, "seq >= 2"), select="SELECT query_id, chunk_id, round(score, 6) AS score, pos FROM lexical"),
         "hybrid_rrf": _with(CHUNKS, QUESTIONS, VECTORS, ASKING.replace(" WHERE ", " WHERE chunk_id IN (SELECT query_id FROM questions) AND "), _near(50), _bm25(50), fused, select="SELECT r.query_id, r.chunk_id, round(r.rrf, 6) AS rrf, r.pos, round(coalesce(n.score, 0.0), 6) AS score FROM ranked r LEFT JOIN near n USING (query_id, chunk_id) WHERE r.pos <= 8"),
+        "rerank_pool": _with(
+            CHUNKS, QUESTIONS, _bm25(20),
+            f"part AS (SELECT l.query_id, l.chunk_id, l.score, l.pos AS p, len(list_intersect(list_distinct({TERMS.format('q.text')}), list_distinct({TERMS.format('c.text')}))) / greatest(1, len(list_distinct({TERMS.format('q.text')}))) AS r FROM lexical l JOIN questions q USING (query_id) JOIN chunks1 c ON c.id = l.chunk_id)",
+            select="SELECT query_id, chunk_id, round(score, 6) AS score, round(r, 6) AS rerank_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, p)::INT AS pos FROM part) WHERE pos <= 8"),
+        "claim_segments": _with("docs AS (SELECT doc_id AS answer_id, text FROM documents)", *_claims("docs"), select="SELECT answer_id, pos, claim, 'uncited' AS verdict FROM claims"),
+        # No chunk marks one of its own ids, so all its claims are judged against all that it cites.
+        "judged_claims": _with(
+            CHUNKS, "answers AS (SELECT id AS answer_id, text FROM chunks1)", *_claims("answers"),
+            f"held AS (SELECT a.id AS answer_id, list_distinct(list_concat(coalesce({TERMS.format('a.text')}, []), coalesce({TERMS.format('b.text')}, []))) AS e FROM chunks1 a LEFT JOIN chunks1 b ON b.id = a.document_id || ':0')",
+            f"judged AS (SELECT answer_id, len(t) > 0 AND len(list_intersect(t, e)) / greatest(1, len(t)) >= 0.6 AS ok FROM (SELECT answer_id, list_distinct({TERMS.format('claim')}) AS t, e FROM claims JOIN held USING (answer_id)))",
+            select="SELECT a.id AS answer_id, count(ok) AS claims, count(*) FILTER (ok) AS supported, CASE WHEN count(ok) > 0 THEN round(count(*) FILTER (ok) / count(ok), 6) ELSE 1.0 END AS rate, count(*) FILTER (ok) = count(ok) AS all_supported FROM chunks1 a LEFT JOIN judged j ON j.answer_id = a.id GROUP BY a.id"),
         "fuse_lists": _with(HITS, second, "total AS (SELECT query_id, chunk_id, sum(1 / (60 + pos)) AS rrf FROM (SELECT query_id, chunk_id, pos FROM hits1 UNION ALL FROM second) GROUP BY ALL)", select="SELECT query_id, chunk_id, round(rrf, 6) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, chunk_id)::INT AS pos FROM total"),
         "source_glob_overfetch": _with(
             VECTORS, ASKING, CHUNKS, DOCS, _near(80),
