@@ -34,7 +34,7 @@ MOST = 4.0  # what one word may say
 LEAST_DOCS = 3  # toxic documents that share a pair with which the fit begins; of few documents, fewer (one more for each PER_DOC)
 PER_DOC = 25
 USUAL = 0.7  # a threshold that counts as much as USUAL_DOCS toxic documents beside what the labels say
-USUAL_DOCS = 20
+USUAL_DOCS = 100
 CHOSEN = 0.6
 MORE_OFTEN = 0.9
 LEAST_SCORE = 0.5  # a threshold is not set lower
@@ -51,6 +51,9 @@ _MARKS = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 _PASSAGE = re.compile(r"([.!?])[\"')*_~]*[^\S\n]+|,\"(?<=[a-z],\")|\s\|\s|[\n\r]+")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([.\-_*~·]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])")
 _AIRY = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
+# What every spelled-out word holds, searched for first: from a sign or a space both are found fast.
+_DOTTED_SIGN = re.compile(r"[.\-_*~·][^\W\d_][.\-_*~·]")
+_AIRY_SIGN = re.compile(r" [^\W\d_] [^\W\d_] ")
 _MASKED = re.compile(r"[*#](?<=[^\W\d_].)(?:[*#]+|(?=[^\W\d_]))")  # begins with a set of signs, which is searched fast
 _TOKEN = re.compile(r"\n|[^\W_](?:[^\W_]|[$@!|+](?=[^\W_])|[$]|_(?=[^\W_]))*|[$@](?=[^\W\d_])(?:[^\W_]|[$@!|])+|[!?]{2,}")
 _LONG = re.compile(r"(.)\1{2,}")
@@ -84,9 +87,9 @@ def plain_text(text: str) -> str:
     text = text.lower()
     if "*" in text or "#" in text:
         text = _MASKED.sub(_MASK, text)
-    if "." in text or "-" in text or "_" in text or "*" in text:
+    if _DOTTED_SIGN.search(text):
         text = _DOTTED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), text)
-    return _AIRY.sub(lambda m: m[0].replace(" ", ""), text)
+    return _AIRY.sub(lambda m: m[0].replace(" ", ""), text) if _AIRY_SIGN.search(text) else text
 
 
 @lru_cache(maxsize=500_000)
