@@ -50,7 +50,7 @@ def keep(df: DataFrame, label: str) -> DataFrame:
 def stored(df: DataFrame, label: str) -> str:
     """Write ``df`` once to the shared folder; its path, for tasks that read it by :func:`rows_at`."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 
