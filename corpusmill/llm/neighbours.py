@@ -82,7 +82,7 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[cls] = [place, number, d, key, bool(ask), False]
             else:
                 known[3:] = min(known[3], key), known[4] or bool(ask), True
-            for col, x in zip(out, (place, key, number, d, *((None, None, None) if known else (raw, key, bool(ask)))), strict=True):
+            for col, x in zip(out, (place, key, number, d, *((None, None, None) if known else (raw, None, bool(ask)))), strict=True):
                 col.append(x)
         yield _batch(out, _ROWS)
         if len(seen) > SEEN:
@@ -387,7 +387,7 @@ def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 5, least: float = -2
     sampled = usable.where("vec is not null").join(sizes, "collection").where(F.pmod(F.xxhash64("key"), F.col("n")) < wanted)
     index = keep(sampled.select("collection", "dims", "vec", "n").groupBy("collection").applyInArrow(_fit(probes), "collection string, index binary"), "multi-index")
     salts = sizes.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).select("collection", "salts")
-    classes = usable.where("least is not null").join(salts, "collection").withColumn("salt", F.pmod("key", F.col("salts")).cast("int")).select("collection", "salt", "key", "dims", "vec", "least", "asks")
+    classes = usable.where("vec is not null or least is not null").withColumn("least", F.coalesce("least", "chunk_id")).join(salts, "collection").withColumn("salt", F.pmod("key", F.col("salts")).cast("int")).select("collection", "salt", "key", "dims", "vec", "least", "asks")
     spread = index.join(salts, "collection").select("collection", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "index")
     units = classes.groupBy("collection", "salt").cogroup(spread.groupBy("collection", "salt")).applyInArrow(_assign(probes), _UNITS)
     where = ["collection", "shard", "slice"]
